@@ -6,18 +6,85 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import exact_dedup, mixing
-from loomspan.llm.common import table
+from loomspan.llm import compaction, exact_dedup, licenses, mixing, packing, pii, quality
+from loomspan.llm.common import new_path, table
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards, compacted, and read back through the last manifest."""
+    store = compaction.ShardStore(spark, new_path(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.read().selectExpr("doc_id", "source", "lang", "n_chars", "sha2(coalesce(text, ''), 256) AS text_sha256")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.selectExpr("id AS doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.feistel_pseudonyms(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup, op8_mixing)}
+    every = (op2_compaction, op4_quality, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
+    return {f.__name__: f for f in every}
+
+
+#: Fixed text: white space of the contracts in DuckDB's regex syntax.
+_SPACE = r"[\x20\x09-\x0D]+"
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op2_compaction": "SELECT doc_id, source, lang, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "op6_exact_dedup": f"""
+            WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS norm FROM documents)
+            SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+                   doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+            FROM t WINDOW w AS (PARTITION BY norm)""",
+        "op8_mixing": f"""
+            WITH d AS (SELECT doc_id, source, {_SIZE} AS size,
+                              md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS code FROM documents),
+            s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+            w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+            c AS (SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS k FROM w),
+            l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+                         sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights_left FROM c),
+            f AS (SELECT *, cap * weights_left >= remaining * weight AS fits FROM l),
+            g AS (SELECT source, source_size,
+                         CASE WHEN fits THEN CAST(first_value(CAST(remaining AS BIGINT)) OVER (PARTITION BY fits ORDER BY k) * weight AS DOUBLE)
+                                             / first_value(CAST(weights_left AS BIGINT)) OVER (PARTITION BY fits ORDER BY k) ELSE CAST(cap AS DOUBLE) END AS target FROM f),
+            p AS (SELECT d.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS quota,
+                         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY substr(code, 1, 8), doc_id, size) - size AS BIGINT) AS begins
+                  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+            SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+                   CAST(greatest(0, least(size, quota - begins)) + greatest(0, least(size, quota - source_size - begins))
+                        + greatest(0, least(size, quota - 2 * source_size - begins)) AS BIGINT) AS taken
+            FROM p""",
+    }
