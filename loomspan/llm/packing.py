@@ -3,8 +3,9 @@
 A document's tokens are cut into full windows and one shorter rest. The rests' lengths form a histogram of at
 most window - 1 bins. All combinations of two or three lengths that fill a window exactly are enumerated; their repeat
 counts are the non-negative least-squares fit to the histogram, rounded by error diffusion and held to what is there;
-what is left is packed best-fit decreasing on the histogram. The plan is a list of window patterns with counts:
-its size depends on the window, not on the corpus. Each rest then finds its place by its rank among equal lengths.
+what is left is packed best-fit decreasing on the histogram. Rests of windows that this leaves with over 1/64 padding are cut
+into powers of two, which fill windows without a gap. The plan is a list of window patterns with counts: its
+size depends on the window, not on the corpus. Each rest then finds its place by its rank among equal lengths.
 
 Scale notes: the text is tokenized once, in place; only piece descriptions (about 40 bytes for up to 1024
 tokens) are shuffled. Ranks are two-step prefix sums, so one length shared by a third of all rows doesn't meet in one
@@ -54,10 +55,10 @@ def solve(counts: np.ndarray, combos: list[tuple[int, ...]], steps: int = 400) -
     return x
 
 
-def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """Window patterns and how often each is used; together they hold every rest exactly once.
+def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Window patterns with how often each is used, and how many rests of each length are left to be cut.
 
-    counts[l]: rests of length l, for l below the window. Windows that don't fill are those of the greedy part only.
+    counts[l]: rests of length l, for l below the window. Every rest is in exactly one pattern use or left to be cut.
     """
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
@@ -77,7 +78,15 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...]
                 out.append((combo, k))
                 for length, many in need.items():
                     left[length] -= k * many
-    return out + _best_fit(left, window)
+    cut_up = np.zeros_like(left)
+    for pattern, k in _best_fit(left, window):
+        total = sum(pattern)
+        if window - total <= window // 64 or total & (total - 1) == 0:
+            out.append((pattern, k))
+        else:
+            for length in pattern:
+                cut_up[length] += k
+    return out, cut_up
 
 
 def _best_fit(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
@@ -113,9 +122,9 @@ def _best_fit(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]
 
 
 class Places:
-    """The plan as arrays: the r-th rest of a length -> (sequence, offset)."""
+    """The plan as arrays: the r-th rest of a length -> its pieces' (start, length, sequence, offset)."""
 
-    def __init__(self, made: list[tuple[tuple[int, ...], int]], window: int):
+    def __init__(self, made: list[tuple[tuple[int, ...], int]], cut_up: np.ndarray, window: int):
         slots: list[list[tuple[int, int, int]]] = [[] for _ in range(window + 1)]
         base = 0
         for pattern, k in made:
@@ -124,24 +133,57 @@ class Places:
                 slots[length].append((k, base, at))
                 at += length
             base += k
-        self.sequences, self.slots = base, {}
+        self.window, self.sequences, self.slots, self.whole = window, base, {}, np.zeros(window + 1, dtype=np.int64)
         for length, some in enumerate(slots):
             if some:
                 k, first, at = (np.array(x, dtype=np.int64) for x in zip(*some, strict=True))
                 self.slots[length] = (np.cumsum(k) - k, first, at)
+                self.whole[length] = k.sum()
+        # powers of two laid out in falling order never cross a window's end
+        lengths = np.arange(len(cut_up))
+        self.bits = [b for b in reversed(range(window.bit_length())) if (lengths >> b & 1).any()]
+        self.first: dict[int, np.ndarray] = {}
+        self.at: dict[int, int] = {}
+        total = 0
+        for b in self.bits:
+            n = np.where(lengths >> b & 1, cut_up, 0)
+            self.first[b], self.at[b] = np.cumsum(n) - n, total
+            total += int(n.sum()) << b
+        self.last = total // window * window  # from here on the parts stand alone, each a power of two
 
-    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sequence, offset = np.empty(len(rank), dtype=np.int64), np.empty(len(rank), dtype=np.int64)
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Indices into the arguments, and start within the rest, length, sequence and offset of each piece."""
+        out: list[tuple[np.ndarray, ...]] = []
+        every = np.arange(len(rank))
         for value in np.unique(length):
-            here = length == value
-            start, first, at = self.slots[int(value)]
-            k = np.searchsorted(start, rank[here], side="right") - 1
-            sequence[here], offset[here] = first[k] + rank[here] - start[k], at[k]
-        return sequence, offset
+            here = every[(length == value) & (rank < self.whole[value])]
+            if len(here):
+                start, first, at = self.slots[int(value)]
+                k = np.searchsorted(start, rank[here], side="right") - 1
+                out.append((here, np.zeros_like(here), np.full_like(here, value), first[k] + rank[here] - start[k], at[k]))
+            here = every[(length == value) & (rank >= self.whole[value])]
+            done = 0
+            for b in self.bits if len(here) else ():
+                if value >> b & 1:
+                    place = self.at[b] + ((self.first[b][value] + rank[here] - self.whole[value]) << b)
+                    alone = place >= self.last
+                    sequence = self.sequences + np.where(alone, self.last // self.window + place - self.last, place // self.window)
+                    out.append((here, np.full_like(here, done), np.full_like(here, 1 << b), sequence, np.where(alone, 0, place % self.window)))
+                    done += 1 << b
+        empty = np.empty(0, dtype=np.int64)
+        return tuple(np.concatenate(x) if x else empty for x in (zip(*out, strict=True) if out else [()] * 5))
+
+
+def powers(length: int) -> list[int]:
+    """The powers of two that sum to a length, largest first."""
+    return [1 << b for b in reversed(range(length.bit_length())) if length >> b & 1]
 
 
 def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces of every row: doc_id, start, length, ids_crc32, doc_tokens (and ids, little-endian bytes)."""
+    """Windows and rest of every row: doc_id, start, length, ids_crc32, part_crcs, doc_tokens (and ids, little-endian bytes).
+
+    part_crcs: of the powers of two that a rest would be cut into; they save the ids from being kept or made again.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +193,7 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in runs(texts):
-                take, start, length, crc, total, ids = [], [], [], [], [], []
+                take, start, length, crc, total, ids, parts = [], [], [], [], [], [], []
                 for i, raw in enumerate(encode(texts[a:b]), a):
                     raw += end
                     n = len(raw) // 4
@@ -161,14 +203,19 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                         start.append(s)
                         length.append(len(piece) // 4)
                         crc.append(zlib.crc32(piece))
+                        some, at = [], 0
+                        for p in powers(length[-1]) if length[-1] < window else ():
+                            some.append(zlib.crc32(piece[at : at + 4 * p]))
+                            at += 4 * p
+                        parts.append(some)
                         total.append(n)
                         if with_ids:
                             ids.append(piece)
-                columns = [batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                columns = [batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(parts, pa.list_(pa.int64()))]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part_crcs"]
                 yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, part_crcs array<long>" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -183,17 +230,28 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     for r in got:
         counts[r["length"]] = r["n"]
     full = int(counts[window])
-    places = Places(([((window,), full)] if full else []) + plan(counts[:window], window), window)
+    made, cut_up = plan(counts[:window], window)
+    places = Places(([((window,), full)] if full else []) + made, cut_up, window)
     parts = max(1, -(-int(counts.sum()) // ROWS_PER_BUCKET))
     rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     ranked = _prefix(rows, "length", "part", ["doc_id", "start", "ids_crc32"], F.lit(1), "rank").drop("part")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    names = pieces.columns
+    schema = f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            sequence, offset = places.find(columns["length"].to_numpy(), columns["rank"].to_numpy())
-            yield pa.record_batch([*(columns[n] for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            length = columns["length"].to_numpy()
+            take, begin, size, sequence, offset = places.find(length, columns["rank"].to_numpy())
+            crcs, part_crcs = columns["ids_crc32"].to_pylist(), columns["part_crcs"].to_pylist()
+            # a part's number: how many larger powers its rest has
+            crc = [crcs[i] if n == length[i] else part_crcs[i][powers(int(length[i])).index(n)] for i, n in zip(take.tolist(), size.tolist(), strict=True)]
+            index = pa.array(take)
+            out = [columns["doc_id"].take(index), pa.array(columns["start"].to_numpy()[take] + begin), pa.array(size), pa.array(crc, pa.int64()), columns["doc_tokens"].take(index), pa.array(sequence), pa.array(offset)]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            if with_ids:
+                ids = columns["ids"].to_pylist()
+                out.append(pa.array([ids[i][4 * b : 4 * (b + n)] for i, b, n in zip(take.tolist(), begin.tolist(), size.tolist(), strict=True)], pa.binary()))
+                names = [*names, "ids"]
+            yield pa.record_batch(out, names=names)
 
     return ranked.mapInArrow(place, schema)
