@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import compaction, exact_dedup, licenses, mixing, packing, pii, quality
+from loomspan.llm import compaction, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality
 from loomspan.llm.common import new_path, table
 
 
@@ -29,6 +29,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return rows.selectExpr("id AS doc_id", "n_shingles", "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,10 +56,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_compaction, op4_quality, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
+    every = (op2_compaction, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
     return {f.__name__: f for f in every}
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Fixed text: white space of the contracts in DuckDB's regex syntax.
 _SPACE = r"[\x20\x09-\x0D]+"
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -63,6 +69,17 @@ _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_compaction": "SELECT doc_id, source, lang, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "op5_ngram_jaccard": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+                  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+            o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+            l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+            FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)""",
         "op6_exact_dedup": f"""
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS norm FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
