@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import checkpoint, stored, text_of
 from loomspan.llm.components import components
-from loomspan.llm.packed import chunks, pack, spans, unpack, words
+from loomspan.llm.packed import chunks, combine, pack, unpack, words
 
 GRAM = 5
 #: A link: LINK_OF * intersection >= LINK * union.
@@ -39,16 +39,17 @@ BYTES_PER_SHARD = 12 << 20
 def shingles(texts: list[bytes], gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, sorted distinct fingerprints, their text's number in the run) for bounded runs of texts."""
     for a, b in chunks([len(t) for t in texts]):
-        doc, first, last, sums = words([t.lower() for t in texts[a:b]])
+        doc, word = words([t.lower() for t in texts[a:b]])
         n = np.bincount(doc, minlength=b - a)
-        short = (n > 0) & (n < gram)
         i = np.arange(max(0, len(doc) - gram + 1))
         i = i[doc[i] == doc[i + gram - 1]] if len(i) else i
+        keys, owner = [combine(*(word[i + k] for k in range(gram)))], [doc[i]]
         begin = np.cumsum(n) - n
-        # a text of fewer words is one shingle of all of them
-        some = begin[short]
-        keys = np.concatenate([spans(first[i], last[i + gram - 1], sums), spans(first[some], last[some + n[short] - 1], sums)])
-        owner = np.concatenate([doc[i], np.flatnonzero(short)])
+        for few in range(1, gram):  # a text of fewer words is one shingle of all of them
+            some = np.flatnonzero(n == few)
+            keys.append(combine(*(word[begin[some] + k] for k in range(few))))
+            owner.append(some)
+        keys, owner = np.concatenate(keys), np.concatenate(owner)
         order = np.lexsort((keys, owner))
         keys, owner = keys[order], owner[order]
         new = np.ones(len(keys), dtype=bool)

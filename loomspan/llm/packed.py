@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Odd multiplier of the polynomial hash, and the finisher's multipliers.
-_P = 0x9E3779B97F4A7C15 | 1
+_P = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -45,44 +45,32 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, _P, dtype=np.uint64)]))
 
 
-def _grown(n: int) -> list[np.ndarray]:
-    """Powers of the multiplier and of its inverse, n of each."""
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            a = np.full(n, p, dtype=np.uint64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of joined texts with A-Z lower-cased by the caller: per word its document, and prefix hash sums at its first byte and
-    after its last byte in the stream of words with one space between; and the words' first bytes there."""
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts in order: the number of each one's text and its 64-bit fingerprint."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     blank = _SPACES[data]
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
     lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     doc = np.searchsorted(np.cumsum(lengths), begins, side="right")
-    # the stream keeps word bytes and the first space after each word, as one and the same byte
-    keep = ~blank
-    keep[ends] = True
-    stream = np.where(blank, np.uint8(0x20), data)[keep]
-    size = ends - begins + 1
+    if not len(begins):
+        return doc, np.empty(0, dtype=np.uint64)
+    size = ends - begins
     first = np.cumsum(size) - size
-    power, _ = _grown(len(stream) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_TABLE[stream] * power[: len(stream)], dtype=np.uint64)])
-    return doc, first, first + size - 1, sums
+    inside = np.arange(int(size.sum())) - np.repeat(first, size)
+    terms = _TABLE[data[~blank]] * _POWERS[inside & 0xFFFF]
+    return doc, finish(np.add.reduceat(terms, first) + size.astype(np.uint64) * np.uint64(_P))
 
 
-def spans(first: np.ndarray, last: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stream ranges [first, last)."""
-    _, inverse = _grown(len(sums))
-    return finish((sums[last] - sums[first]) * inverse[first])
+def combine(*parts: np.ndarray) -> np.ndarray:
+    """One fingerprint of a sequence of fingerprints, element by element."""
+    out = np.zeros(len(parts[0]), dtype=np.uint64)
+    for k, p in enumerate(parts):
+        out += p * _POWERS[k + 1]
+    return finish(out)
 
 
 def chunks(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
