@@ -10,6 +10,8 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier of the polynomial hash, and the finisher's multipliers.
 _P = 0x9E3779B97F4A7C15
@@ -83,3 +85,9 @@ def chunks(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         size += n
     if at < len(sizes):
         yield at, len(sizes)
+
+
+def texts_of(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, end, texts as UTF-8) of a string column in runs of bounded size, so one run at a time is in memory."""
+    for a, b in chunks(pc.binary_length(column).to_pylist(), most):
+        yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()

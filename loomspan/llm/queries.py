@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import compaction, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality
+from loomspan.llm import compaction, exact_dedup, licenses, lm_score, mixing, ngram_join, packing, pii, quality
 from loomspan.llm.common import new_path, table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents appended as small shards, compacted, and read back through the last manifest."""
     store = compaction.ShardStore(spark, new_path(spark, "shards"))
@@ -56,7 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_compaction, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
+    every = (op1_lm_score, op2_compaction, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
     return {f.__name__: f for f in every}
 
 
