@@ -8,14 +8,21 @@ characters on which white-space definitions differ are encoded as a whole.
 from __future__ import annotations
 
 import re
-from array import array
 from functools import cache
 
+import numpy as np
+
 #: Segments kept by a process; the cache starts anew when full. It bounds memory and changes no result.
-CACHED = 600_000
-#: How a vocabulary file's segments are told apart.
-_SEGMENTS = {"word": re.compile(r"[^\x20\x09-\x0D]+"), "byte": re.compile(r"\s*\S+|\s+")}
-_UNSURE = re.compile(r"[\x1c-\x1f]")
+CACHED = 1_000_000
+_PLAIN = {"word": re.compile(r"[^\W\d_]+"), "byte": re.compile(r"[^\s\0]\S*")}
+_CLOSED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+_SPACE = re.compile(r"\s").search
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+_RUNS = re.compile(r"\s*\S+|\s+").findall
+#: Marks a key that stands for itself alone.
+_WHOLE = "\0"
+_ODD = re.compile(r"[^\S \n]")
+_UNSURE = re.compile(r"[\0\x1c-\x1f]")
 
 
 class Encoder:
@@ -26,29 +33,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind, self.split, self.known = kind, _SEGMENTS[kind].findall, {}
+        self.kind, self.known = kind, {}
+        self.feed = self.tokenizer.token_to_id("\u010a")
+        # ids that begin with a space (byte) or end a word (word)
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if kind == "byte" else t.endswith("</w>"))]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, keys: list[str]) -> list[bytes]:
+        if self.kind == "byte":
+            keys = [k[1:] if k[:1] == _WHOLE else " " + k for k in keys]
+        return [a.tobytes() for a in self._ids(keys)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Put new segments into the cache. Most are encoded many at a time as one text and told apart by the
+        ids that begin (byte) or end (word) a segment; where that count differs, one by one."""
+        plain = list(filter(_PLAIN[self.kind].fullmatch, fresh))
+        for a in range(0, len(plain), 2_000):
+            some = plain[a : a + 2_000]
+            ids = self._ids([" " * (self.kind == "byte") + " ".join(some)])[0]
+            at = np.flatnonzero(self.edge[ids])
+            cuts = np.append(at, len(ids)) if self.kind == "byte" else np.concatenate([[0], at + 1])
+            if len(cuts) != len(some) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+                self.known.update(zip(some, self._encode(some), strict=True))
+                continue
+            raw, where = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(some, [raw[i:j] for i, j in zip(where, where[1:], strict=False)], strict=True))
+        rest = list(set(fresh).difference(plain)) if len(plain) < len(fresh) else []
+        if self.kind == "byte":  # marked segments, one a line
+            lines = [k for k in rest if len(k) > 1 and k[0] == _WHOLE and not _SPACE(k)]
+            for a in range(0, len(lines), 2_000):
+                some = lines[a : a + 2_000]
+                ids = self._ids(["\n".join([k[1:] for k in some])])[0]
+                parts = np.split(ids, np.flatnonzero(ids == self.feed))
+                if len(parts) == len(some):
+                    self.known.update((k, p[i > 0 :].tobytes()) for i, (k, p) in enumerate(zip(some, parts, strict=True)))
+            rest = [k for k in rest if k not in self.known]
+        if self.kind == "word":  # letters and closing marks: two segments of their own
+            pairs = [(s, m[1], m[2]) for s in rest if (m := _CLOSED.fullmatch(s))]
+            if pairs:
+                self._learn(list({x for _, *two in pairs for x in two}.difference(self.known)))
+                self.known.update((s, self.known[x] + self.known[y]) for s, x, y in pairs)
+                rest = [s for s in rest if s not in self.known]
+        for a in range(0, len(rest), 20_000):
+            self.known.update(zip(rest[a : a + 20_000], self._encode(rest[a : a + 20_000]), strict=True))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        made = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if array("I", [1]).tobytes() != b"\1\0\0\0":
-            for a in made:
-                a.byteswap()
-        return [a.tobytes() for a in made]
+    def _split(self, text: str) -> list[str]:
+        """Segments of a text, as cache keys. byte: a key stands for itself with a space before it, a marked key for
+        itself alone. Where white space is single spaces and line feeds, each space begins a segment and each line
+        feed is one; else a segment is a run of white space with what follows it."""
+        if _UNSURE.search(text):
+            return _WORDS(text) if self.kind == "word" else [_WHOLE + text]
+        if self.kind == "word":
+            return text.split()
+        if _ODD.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return [s[1:] if s[0] == " " else _WHOLE + s for s in _RUNS(text)]
+        return (_WHOLE + text).replace("\n", f" {_WHOLE}\n {_WHOLE}").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.known.clear()
-        whole = {i for i, t in enumerate(texts) if self.kind == "byte" and _UNSURE.search(t)}
-        parts = [[] if i in whole else self.split(t) for i, t in enumerate(texts)]
+        parts = [self._split(t) if t else [] for t in texts]
         fresh = list(set().union(*parts).difference(self.known)) if parts else []
-        for a in range(0, len(fresh), 20_000):
-            some = fresh[a : a + 20_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
+        if fresh:
+            self._learn(fresh)
         get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        return out
+        return [b"".join(map(get, p)) for p in parts]
 
 
 @cache
