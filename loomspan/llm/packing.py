@@ -187,31 +187,31 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     slim = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomspan.llm.tokens import encoder, runs
+        from loomspan.llm.tokens import encoded
 
-        encode, end = encoder(vocabulary, "byte"), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in runs(texts):
-                take, start, length, crc, total, ids, parts = [], [], [], [], [], [], []
-                for i, raw in enumerate(encode(texts[a:b]), a):
-                    raw += end
-                    n = len(raw) // 4
-                    for s in range(0, n, window):
-                        piece = raw[4 * s : 4 * (s + window)]
-                        take.append(i)
-                        start.append(s)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        some, at = [], 0
-                        for p in powers(length[-1]) if length[-1] < window else ():
-                            some.append(zlib.crc32(piece[at : at + 4 * p]))
-                            at += 4 * p
-                        parts.append(some)
-                        total.append(n)
-                        if with_ids:
-                            ids.append(piece)
-                columns = [batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(parts, pa.list_(pa.int64()))]
+            for a, b, flat, begin in encoded(vocabulary, "byte", batch.column(1)):
+                at = begin + np.arange(b - a + 1)  # with the end id of each text before it
+                every = np.full(at[-1], end_id, dtype="<u4")
+                every[np.arange(len(flat)) + np.repeat(np.arange(b - a), np.diff(begin))] = flat
+                # the windows of a text, then its rest
+                total = np.diff(at)
+                pieces = -(-total // window)
+                take = np.repeat(np.arange(b - a), pieces)
+                start = (np.arange(len(take)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(window, total[take] - start)
+                raw, crc, ids, parts = memoryview(every.tobytes()), [], [], []
+                for at_byte, n in zip((4 * (at[take] + start)).tolist(), length.tolist(), strict=True):
+                    piece = raw[at_byte : at_byte + 4 * n]
+                    crc.append(zlib.crc32(piece))
+                    some, k = [], 0
+                    for p in powers(n) if n < window else ():
+                        some.append(zlib.crc32(piece[k : k + 4 * p]))
+                        k += 4 * p
+                    parts.append(some)
+                    if with_ids:
+                        ids.append(bytes(piece))
+                columns = [batch.column(0).take(pa.array(take + a)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[take])), pa.array(parts, pa.list_(pa.int64()))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part_crcs"]
                 yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 

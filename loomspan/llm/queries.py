@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import compaction, exact_dedup, licenses, lm_score, mixing, ngram_join, packing, pii, quality
+from loomspan.llm import compaction, exact_dedup, id_files, licenses, lm_score, mixing, ngram_join, packing, pii, quality
 from loomspan.llm.common import new_path, table
 
 
@@ -29,6 +29,12 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().selectExpr("doc_id", "source", "lang", "n_chars", "sha2(coalesce(text, ''), 256) AS text_sha256")
 
 
+def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    id_files.write_ids(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return id_files.read_ids(spark, path)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_lm_score, op2_compaction, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
+    every = (op1_lm_score, op2_compaction, op3_id_files, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_packing, op8_mixing, op9_pseudonyms, op10_licenses)
     return {f.__name__: f for f in every}
 
 

@@ -1,125 +1,163 @@
-"""Whole-text tokenization with a per-process cache of segments.
+"""Whole-text tokenization, a column at a time, with a per-process cache of segments.
 
-Both vocabularies split a text at white space before they merge, so the ids of a text are those of its
-segments in a row: a segment met before costs one dictionary look-up instead of an encoding. Texts with one of the rare
-characters on which white-space definitions differ are encoded as a whole.
+Both vocabularies split a text at white space before they merge, so the ids of a text are those of its segments in a
+row. Columns are cut into segments and made distinct by Arrow; only segments that this process hasn't met are encoded,
+most of them many at a time; the ids of all texts are then gathered by index.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Segments kept by a process; the cache starts anew when full. It bounds memory and changes no result.
 CACHED = 1_000_000
 _PLAIN = {"word": re.compile(r"[^\W\d_]+"), "byte": re.compile(r"[^\s\0]\S*")}
 _CLOSED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 _SPACE = re.compile(r"\s").search
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _RUNS = re.compile(r"\s*\S+|\s+").findall
-#: Marks a key that stands for itself alone.
+#: Marks a key that stands for itself alone; other byte keys stand for themselves with a space before.
 _WHOLE = "\0"
-_ODD = re.compile(r"[^\S \n]")
-_UNSURE = re.compile(r"[\0\x1c-\x1f]")
+_UNSURE = re.compile(r"[\0\x1c-\x1f]").search
+#: Texts with other white space than single spaces and line feeds (or with the mark), in RE2's syntax.
+_ODD = r"[ \n][ \n]|[\x00\t\r\x0b\x0c\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes. kind: 'word' (white space dropped) or 'byte'."""
+    """Token ids of string columns. kind: 'word' (white space is dropped) or 'byte'."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind, self.known = kind, {}
-        self.feed = self.tokenizer.token_to_id("\u010a")
+        self.kind = kind
+        self._forget()
+        self.feed = self.tokenizer.token_to_id("Ċ")
         # ids that begin with a space (byte) or end a word (word)
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if kind == "byte" else t.endswith("</w>"))]] = True
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if kind == "byte" else t.endswith("</w>"))]] = True
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
+        self.start, self.size = np.empty(1 << 18, dtype=np.int64), np.empty(1 << 18, dtype=np.int32)
+
+    def _put(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(keys)
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.start) < n + m:
+            self.start, self.size = np.concatenate([self.start, np.empty_like(self.start)]), np.concatenate([self.size, np.empty_like(self.size)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + m] = sizes
+        self.used += len(ids)
+        self.known.update(zip(keys, range(n, n + m), strict=True))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, keys: list[str]) -> list[bytes]:
-        if self.kind == "byte":
-            keys = [k[1:] if k[:1] == _WHOLE else " " + k for k in keys]
-        return [a.tobytes() for a in self._ids(keys)]
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _singly(self, keys: list[str]) -> None:
+        for a in range(0, len(keys), 20_000):
+            some = keys[a : a + 20_000]
+            made = self._ids([k[1:] if k[:1] == _WHOLE else " " + k for k in some] if self.kind == "byte" else some)
+            self._put(some, np.concatenate(made), np.array([len(x) for x in made]))
+
+    def _jointly(self, keys: list[str], texts: str, cut) -> list[str]:
+        """Encode keys as one text each 2,000 of them; those whose parts can't be told apart are given back."""
+        back = []
+        for a in range(0, len(keys), 2_000):
+            some = keys[a : a + 2_000]
+            ids = self._ids([texts.join(k.lstrip(_WHOLE) for k in some) if texts == "\n" else " " * (self.kind == "byte") + " ".join(some)])[0]
+            sizes = cut(ids)
+            if len(sizes) != len(some) or sizes.sum() != len(ids) or (sizes < 0).any():
+                back += some
+                continue
+            if texts == "\n":  # the line feeds aren't part of the segments
+                ids, sizes = ids[ids != self.feed], sizes - (np.arange(len(sizes)) > 0)
+            self._put(some, ids, sizes)
+        return back
 
     def _learn(self, fresh: list[str]) -> None:
-        """Put new segments into the cache. Most are encoded many at a time as one text and told apart by the
-        ids that begin (byte) or end (word) a segment; where that count differs, one by one."""
         plain = list(filter(_PLAIN[self.kind].fullmatch, fresh))
-        for a in range(0, len(plain), 2_000):
-            some = plain[a : a + 2_000]
-            ids = self._ids([" " * (self.kind == "byte") + " ".join(some)])[0]
-            at = np.flatnonzero(self.edge[ids])
-            cuts = np.append(at, len(ids)) if self.kind == "byte" else np.concatenate([[0], at + 1])
-            if len(cuts) != len(some) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
-                self.known.update(zip(some, self._encode(some), strict=True))
-                continue
-            raw, where = ids.tobytes(), (4 * cuts).tolist()
-            self.known.update(zip(some, [raw[i:j] for i, j in zip(where, where[1:], strict=False)], strict=True))
         rest = list(set(fresh).difference(plain)) if len(plain) < len(fresh) else []
-        if self.kind == "byte":  # marked segments, one a line
+        if self.kind == "byte":
+            self._singly(self._jointly(plain, " ", lambda ids: np.diff(np.append(np.flatnonzero(self.edge[ids]), len(ids)))))
             lines = [k for k in rest if len(k) > 1 and k[0] == _WHOLE and not _SPACE(k)]
-            for a in range(0, len(lines), 2_000):
-                some = lines[a : a + 2_000]
-                ids = self._ids(["\n".join([k[1:] for k in some])])[0]
-                parts = np.split(ids, np.flatnonzero(ids == self.feed))
-                if len(parts) == len(some):
-                    self.known.update((k, p[i > 0 :].tobytes()) for i, (k, p) in enumerate(zip(some, parts, strict=True)))
-            rest = [k for k in rest if k not in self.known]
-        if self.kind == "word":  # letters and closing marks: two segments of their own
-            pairs = [(s, m[1], m[2]) for s in rest if (m := _CLOSED.fullmatch(s))]
-            if pairs:
-                self._learn(list({x for _, *two in pairs for x in two}.difference(self.known)))
-                self.known.update((s, self.known[x] + self.known[y]) for s, x, y in pairs)
-                rest = [s for s in rest if s not in self.known]
-        for a in range(0, len(rest), 20_000):
-            self.known.update(zip(rest[a : a + 20_000], self._encode(rest[a : a + 20_000]), strict=True))
-
-    def _split(self, text: str) -> list[str]:
-        """Segments of a text, as cache keys. byte: a key stands for itself with a space before it, a marked key for
-        itself alone. Where white space is single spaces and line feeds, each space begins a segment and each line
-        feed is one; else a segment is a run of white space with what follows it."""
-        if _UNSURE.search(text):
-            return _WORDS(text) if self.kind == "word" else [_WHOLE + text]
+            left = self._jointly(lines, "\n", lambda ids: np.diff(np.concatenate([[0], np.flatnonzero(ids == self.feed), [len(ids)]])))
+            self._singly(left + list(set(rest).difference(lines)))
+            return
+        self._singly(self._jointly(plain, " ", lambda ids: np.diff(np.flatnonzero(self.edge[ids]), prepend=-1)))
+        # letters and closing marks: two segments of their own
+        pairs = [(s, m[1], m[2]) for s in rest if (m := _CLOSED.fullmatch(s))]
+        if pairs:
+            self._learn(list({x for _, *two in pairs for x in two}.difference(self.known)))
+            left, right = (np.array([self.known[p[k]] for p in pairs]) for k in (1, 2))
+            two = np.stack([left, right], axis=1).ravel()
+            self._put([p[0] for p in pairs], self._gather(two), self.size[left] + self.size[right])
+        self._singly([s for s in rest if s not in self.known])
+
+    def _gather(self, index: np.ndarray) -> np.ndarray:
+        size = self.size[index].astype(np.int64)
+        shift = self.start[index] - (np.cumsum(size) - size)
+        return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
+
+    def _keys(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All segments in order, and where each text's begin (with the end)."""
         if self.kind == "word":
-            return text.split()
-        if _ODD.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return [s[1:] if s[0] == " " else _WHOLE + s for s in _RUNS(text)]
-        return (_WHOLE + text).replace("\n", f" {_WHOLE}\n {_WHOLE}").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+            parts = pc.ascii_split_whitespace(texts)
+            return parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        odd = pc.match_substring_regex(texts, _ODD)
+        if not pc.any(odd).as_py():
+            parts = self._regular(texts)
+            return parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        odd = odd.to_numpy(zero_copy_only=False)
+        lists: list = [None] * len(texts)
+        where = np.flatnonzero(~odd)
+        for i, p in zip(where.tolist(), self._regular(texts.take(pa.array(where))).to_pylist(), strict=True):
+            lists[i] = p
+        for i in np.flatnonzero(odd).tolist():
+            t = texts[i].as_py()
+            lists[i] = [_WHOLE + t] if _UNSURE(t) else [s[1:] if s[0] == " " else _WHOLE + s for s in _RUNS(t)]
+        parts = pa.array(lists, pa.list_(pa.string()))
+        return parts.flatten(), parts.offsets.to_numpy()
+
+    def _regular(self, texts: pa.Array) -> pa.Array:
+        """Each space begins a segment and each line feed is one."""
+        marked = pc.binary_join_element_wise(pa.scalar(_WHOLE), texts, pa.scalar(""))
+        return pc.split_pattern(pc.replace_substring(marked, "\n", f" {_WHOLE}\n {_WHOLE}"), " ")
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the column (no nulls) as uint32, and where each text's begin (with the end)."""
         if len(self.known) > CACHED:
-            self.known.clear()
-        parts = [self._split(t) if t else [] for t in texts]
-        fresh = list(set().union(*parts).difference(self.known)) if parts else []
-        if fresh:
-            self._learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            self._forget()
+        keys, begin = self._keys(texts)
+        coded = keys.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(list(set(distinct).difference(self.known)))
+        of_key = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        index = of_key[coded.indices.to_numpy()] if len(keys) else np.empty(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.size[index], dtype=np.int64)])
+        return self._gather(index), ends[begin]
 
 
 @cache
 def encoder(path: str, kind: str) -> Encoder:
     """One for each Python worker; its cache serves all tasks that run there."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, kind)
 
 
-def runs(texts: list[str], most: int = 2 << 20):
-    """Consecutive (first, end) of bounded joint length; a longer text stands alone."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+def encoded(path: str, kind: str, texts: pa.Array, most: int = 8 << 20):
+    """(first, end, ids, offsets) of a string column in runs of bounded size."""
+    from loomspan.llm.packed import chunks
+
+    for a, b in chunks(pc.binary_length(texts).to_pylist(), most):
+        yield a, b, *encoder(path, kind)(texts.slice(a, b - a))
