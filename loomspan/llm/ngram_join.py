@@ -3,13 +3,15 @@
 Documents are sets of 64-bit fingerprints of their distinct five-word shingles. All links (Jaccard of 0.75 or more) are found,
 and the components they form, without comparing all pairs:
 
-1. Equal texts are one set from the start (map-side pre-aggregated).
-2. One exchange of packed shingles counts in how many sets each occurs. A set of which under 75% occurs elsewhere can't link;
+1. Equal texts are one set: a task sends each text once, and what several tasks send is joined where it is counted.
+2. One exchange of packed shingles (48 bits of the fingerprint: chance meetings in a pair of sets stay out of reach, at
+   two thirds of the bytes) counts in how many sets each occurs. A set of which under 75% occurs elsewhere can't link;
    the others (few) keep their shared shingles, a hashed bitmap and a prefix: sorted from rare to frequent, two linking
    sets share a shingle within the first quarter (prefix filter with exact frequencies).
-3. Sets that share a prefix shingle are compared with the smallest of them: as many comparisons as members. Links form components.
-4. Shingles whose sets are still in several components make tiles: the sets outside the largest component (banded by
-   size) against all sets of the shingle. Bit counts bound the overlap from above; what passes is intersected exactly.
+3. Sets that share a prefix shingle are compared with the smallest of them, then, where they are still in several components,
+   with one set of the largest, a few turns: as many comparisons as members. Links form components.
+4. What is still apart makes tiles by largest component and size band: the sets outside it against all of its shingles'
+   sets. Bit counts bound the overlap from above; what passes is intersected exactly.
 
 Pairs inside a component are never compared again, so thousands of near copies cost thousands of comparisons, not their
 square, and no link between different components is missed.
@@ -17,6 +19,7 @@ square, and no link between different components is missed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,61 +29,63 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import checkpoint, stored, text_of
 from loomspan.llm.components import components
-from loomspan.llm.packed import chunks, combine, pack, unpack, words
+from loomspan.llm.packed import combine, pack, texts_of, unpack, words
 
 GRAM = 5
 #: A link: LINK_OF * intersection >= LINK * union.
 LINK, LINK_OF = 75, 100
+#: Of a 64-bit shingle fingerprint the top 48 bits travel and are compared.
+KEY_SHIFT, KEY_BITS = np.uint64(16), 48
 BITMAP_BYTES = 128
 TILE = 1024
-BYTES_PER_SHARD = 12 << 20
-
-
-def shingles(texts: list[bytes], gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, sorted distinct fingerprints, their text's number in the run) for bounded runs of texts."""
-    for a, b in chunks([len(t) for t in texts]):
-        doc, word = words([t.lower() for t in texts[a:b]])
-        n = np.bincount(doc, minlength=b - a)
-        i = np.arange(max(0, len(doc) - gram + 1))
-        i = i[doc[i] == doc[i + gram - 1]] if len(i) else i
-        keys, owner = [combine(*(word[i + k] for k in range(gram)))], [doc[i]]
-        begin = np.cumsum(n) - n
-        for few in range(1, gram):  # a text of fewer words is one shingle of all of them
-            some = np.flatnonzero(n == few)
-            keys.append(combine(*(word[begin[some] + k] for k in range(few))))
-            owner.append(some)
-        keys, owner = np.concatenate(keys), np.concatenate(owner)
-        order = np.lexsort((keys, owner))
-        keys, owner = keys[order], owner[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        yield a, keys[new], owner[new]
+#: Turns of comparing with one set of the largest component before the tiles; they only save work.
+TURNS = 1
+BYTES_PER_SHARD = 6 << 20
+
+
+def shingles(texts: list[bytes], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints of each text and their text's number, sorted by both."""
+    doc, word = words([t.lower() for t in texts])
+    n = np.bincount(doc, minlength=len(texts))
+    i = np.arange(max(0, len(doc) - gram + 1))
+    i = i[doc[i] == doc[i + gram - 1]] if len(i) else i
+    keys, owner = [combine(*(word[i + k] for k in range(gram)))], [doc[i]]
+    begin = np.cumsum(n) - n
+    for few in range(1, gram):  # a text of fewer words is one shingle of all of them
+        some = np.flatnonzero(n == few)
+        keys.append(combine(*(word[begin[some] + k] for k in range(few))))
+        owner.append(some)
+    key, at = np.concatenate(keys), np.concatenate(owner)
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    return key[new] >> KEY_SHIFT, at[new]
 
 
 def _spread(shards: int):
-    """reps (rid, text) -> packed shingles by shard; row -1 has the sizes."""
+    """Rows (rid, text) -> packed shingles by shard, a few MB of text at a time; shard -1 has the sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # shards are ranges of the fingerprint, so each is a slice of the sorted shingles
+        edges = np.array([(s << KEY_BITS) // shards for s in range(1, shards)], dtype=np.uint64)
+        sent: set[int] = set()  # of this task: equal texts go once
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            kept: list[tuple[np.ndarray, np.ndarray]] = []
-            size = np.zeros(len(rid), dtype=np.uint32)
-            for a, keys, owner in shingles(texts):
-                kept.append((keys, owner + a))
-                size += np.bincount(owner + a, minlength=len(rid)).astype(np.uint32)
-            out = [(-1, pack(rid, size))]
-            if kept:
-                keys, owner = (np.concatenate(x) for x in zip(*kept, strict=True))
-                order = np.argsort(keys)
-                keys, owner = keys[order], owner[order].astype(np.uint32)
-                # shards are ranges of the fingerprint, so each is a slice
-                edge = np.searchsorted(keys, np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64))
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            fresh = [i for i in np.sort(first).tolist() if batch.column(0)[i].as_py() not in sent]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            ids = batch.column(0).to_numpy()
+            sent.update(ids.tolist())
+            for a, b, texts in texts_of(batch.column(1)):
+                keys, owner = shingles(texts)
+                rid, size = ids[a:b], np.bincount(owner, minlength=b - a).astype(np.uint32)
+                out = [(-1, pack(rid, size))]
+                edge = np.searchsorted(keys, edges)
                 for s, (k, o) in enumerate(zip(np.split(keys, edge), np.split(owner, edge), strict=True)):
                     if len(k):
                         here, o = np.unique(o, return_inverse=True)
                         out.append((s, pack(np.diff(k, prepend=np.uint64(0)), o.astype(np.uint32), rid[here], size[here])))
-            yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["shard", "cell"])
+                yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["shard", "cell"])
 
     return run
 
@@ -103,8 +108,16 @@ def _shared(buckets: int):
         del keys, owner, size
         order = np.argsort(k, kind="stable")
         k, o, n = k[order], o[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        count = np.diff(np.append(start, len(k)))
+        again = k[1:] == k[:-1]
+        several = np.append(again, False) | np.insert(again, 0, False) if len(k) else np.empty(0, bool)
+        k, o, n = k[several], o[several], n[several]
+        # a set that several tasks sent counts once
+        order = np.lexsort((o, k))
+        k, o, n = k[order], o[order], n[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+        k, o, n = k[new], o[new], n[new]
+        count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))) if len(k) else np.empty(0, np.int64)
         df = np.repeat(count, count)
         many = df > 1
         k, o, n, df = k[many], o[many], n[many], df[many].astype(np.uint32)
@@ -124,7 +137,7 @@ def _shared(buckets: int):
 
 def bitmap(keys: np.ndarray) -> bytes:
     bits = np.zeros(BITMAP_BYTES * 8, dtype=np.uint8)
-    bits[(keys >> np.uint64(7)) % np.uint64(BITMAP_BYTES * 8)] = 1
+    bits[(keys >> np.uint64(3)) % np.uint64(BITMAP_BYTES * 8)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -210,22 +223,41 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
-def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a prefix shingle. rows: token, rid."""
-    at = rows.join(comp.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    at = checkpoint(at)
+def _grouped(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (token, rid) of shingles whose sets are in several components: with comp, and main, the largest one."""
+    at = checkpoint(rows.join(comp.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")))
     parts = at.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    groups = parts.groupBy("token").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most"))
-    groups = groups.filter("comps > 1 and all > 2").select("token", F.col("most.comp").alias("main"), F.col("all").alias("members"), (F.col("all") - F.col("most.m")).alias("outside"))
-    at = at.join(groups, "token").join(sets.select("rid", "n", "bits", (F.col("n") - F.octet_length("keys") / 8).cast("long").alias("lone")), "rid")
-    # tile (i, j): the i-th run of outside sets against the j-th run of all; rows are dealt to runs by hash
+    groups = parts.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("most"))
+    return checkpoint(at.join(groups.filter("comps > 1").select("token", F.col("most.comp").alias("main")), "token"))
+
+
+def _stars(grouped: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the sets outside a largest component with one set of it, another one in each turn."""
+    mains = grouped.select("main").distinct()
+    inside = comp.join(mains, comp["comp"] == mains["main"], "left_semi").groupBy("comp").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("c"))
+    alone = mains.join(comp, mains["main"] == comp["comp"], "left_anti").select(F.col("main").alias("comp"), F.col("main").alias("node"))
+    centre = inside.select("comp", "c.node").unionByName(alone).select(F.col("comp").alias("main"), "node")
+    pairs = grouped.filter("comp <> main").select("rid", "main").distinct().join(centre, "main")
+    return pairs.select(F.least("rid", "node").alias("a"), F.greatest("rid", "node").alias("b")).distinct()
+
+
+def _across(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs between components: tiles by main component and size band."""
+    members = grouped.groupBy("main", "rid").agg(F.first("comp").alias("comp"))
+    members = checkpoint(members.join(sets.select("rid", "n", "bits", (F.col("n") - F.octet_length("keys") / 8).cast("long").alias("lone")), "rid"))
+    # sets of linking sizes are in the same or the next band: a band spans the least size ratio
+    members = members.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(math.log(LINK_OF / LINK)) + F.lit(1e-9)).cast("int"))
+    count = members.groupBy("main").agg(F.count("*").alias("members"), F.count_if(F.col("comp") != F.col("main")).alias("outside"))
+    members = members.join(count, "main")
+    # tile (i, j) of a band: the i-th run of outside sets against the j-th run of all; rows are dealt to runs by hash
     i = F.pmod(F.xxhash64("rid"), F.ceil(F.col("outside") / TILE)).cast("int")
     j = F.pmod(F.xxhash64("rid", F.lit(1)), F.ceil(F.col("members") / TILE)).cast("int")
     last = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / TILE) - 1).cast("int"))
-    keep = ["token", "rid", "n", "bits", "lone", "comp"]
-    outside = at.filter("comp <> main").select(*keep, F.lit(True).alias("out"), i.alias("i"), F.explode(last("members")).alias("j"))
-    every = at.select(*keep, F.lit(False).alias("out"), F.explode(last("outside")).alias("i"), j.alias("j"))
-    return outside.unionByName(every).groupBy("token", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
+    keep = ["main", "rid", "n", "bits", "lone", "comp"]
+    outside = members.filter("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    outside = outside.select(*keep, "band", F.lit(True).alias("out"), i.alias("i"), F.explode(last("members")).alias("j"))
+    every = members.select(*keep, "band", F.lit(False).alias("out"), F.explode(last("outside")).alias("i"), j.alias("j"))
+    return outside.unionByName(every).groupBy("main", "band", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -240,20 +272,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = base.select("id", F.xxhash64("text").alias("rid"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(volume) // BYTES_PER_SHARD))
-    reps = base.groupBy(F.xxhash64("text").alias("rid")).agg(F.first("text").alias("text"))
-    spread = reps.mapInArrow(_spread(shards), "shard int, cell binary")
+    spread = base.select(F.xxhash64("text").alias("rid"), "text").mapInArrow(_spread(shards), "shard int, cell binary")
     shared = stored(spread.groupBy("shard").applyInArrow(_shared(shards), "bucket int, cell binary"), "shared")
-    sizes = shared.filter("bucket < 0").mapInArrow(_sizes, "rid long, n long")
+    sizes = shared.filter("bucket < 0").mapInArrow(_sizes, "rid long, n long").distinct()
     sets = stored(shared.filter("bucket >= 0").groupBy("bucket").applyInArrow(_survivors, "rid long, n long, keys binary, bits binary, prefix array<long>"), "sets")
 
     rows = sets.select(F.explode("prefix").alias("token"), "rid", "n")
     centre = rows.groupBy("token").agg(F.min(F.struct("n", "rid")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("c.n").alias("n_c"), F.col("c.rid").alias("a"))
     stars = rows.join(centre, "token").filter((F.col("a") != F.col("rid")) & (LINK_OF * F.col("n_c") >= LINK * F.col("n"))).select("a", F.col("rid").alias("b")).distinct()
-    first = checkpoint(_linked(stars, sets))
-    comp = components(first)
-    more = checkpoint(_linked(_across(rows.select("token", "rid"), comp, sets), sets))
-    edges = first.unionByName(more)
-    if not more.isEmpty():
+    edges = checkpoint(_linked(stars, sets))
+    comp = components(edges)
+    left = rows
+    for turn in range(TURNS):
+        left = _grouped(left.select("token", "rid", "n"), comp)
+        if left.isEmpty():
+            break
+        edges = checkpoint(edges.unionByName(_linked(_stars(left, comp, turn), sets)))
+        comp = components(edges)
+    left = _grouped(left.select("token", "rid", "n"), comp)
+    if not left.isEmpty():
+        edges = checkpoint(edges.unionByName(_linked(_across(left, sets), sets)))
         comp = components(edges)
     placed = ids.groupBy("rid").agg(F.min("id").alias("least")).join(sizes, "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     placed = checkpoint(placed)
