@@ -9,9 +9,11 @@ unigram, counted over all training documents. Its logarithm splits into parts th
 so the model is cut into shards by predicted word, each shard one trie (word -> context), and a document's score is
 the sum of what the shards give for its pairs. No machine ever holds the whole model, and shards grow in number with the input.
 
-Scale notes: one exchange carries the corpus as packed distinct pairs with their documents (about 8 bytes a token); the
-second carries a partial sum per document and shard. Words with over 1/HOT of all tokens (HOT of them at most) have their
-pairs spread over all shards by context; their counts are sent to every task.
+Scale notes: texts are taken in chunks of a few MB. One exchange carries each chunk's distinct pairs to the shards (about 5 bytes
+a token), a second carries quantised answers back to the chunk, where its documents' places (2 bytes a token) wait. Nothing in
+it grows with the product of documents and shards. Words with over 1/HOT of all tokens (HOT of them at most) have their
+pairs spread over all shards by context; their counts are sent to every task. A chunk is named by its task and place,
+so ``docs`` should be a table scan, whose tasks read the same rows whenever they run.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import text_of
+from loomspan.llm.common import checkpoint, text_of
 from loomspan.llm.elias_fano import Trie
 from loomspan.llm.packed import combine, pack, texts_of, unpack, words
 
 MU = 300.0
 HOT = 4096
 BYTES_PER_SHARD = 12 << 20
+#: A shard is worked on in so many parts, one after another; only one part is unpacked at a time.
+PARTS = 4
+#: Contexts are 40-bit fingerprints: a chance meeting would have to be under the same predicted word.
+CONTEXT_SHIFT = np.uint64(24)
 #: Fingerprint of the text's end, also the context of its first word.
 END = np.uint64(0)
 
@@ -78,16 +84,21 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table({"word": pa.array(np.concatenate([[0], key[top].view(np.int64)])), "n": pa.array(np.concatenate([[n.sum()], n[top]])), "distinct": pa.array(np.concatenate([[len(key)], np.zeros(len(top), np.int64)]))})
 
 
-def _spread(shards: int, buckets: int, hot: np.ndarray):
-    """Rows (rid, train, text) -> packed pairs by shard; the documents' own lines have shard -1 - bucket."""
+#: Answers are fixed-point numbers: word values of 16 bits from -24 up, pair gains (from 0) of 8 bits.
+GRID, LOWEST, GAIN_GRID = 1 / 2048, -24.0, 1 / 32
+
+
+def _spread(shards: int, hot: np.ndarray):
+    """Rows (rid, train, text) -> each chunk's distinct pairs by shard and part; its documents' lines with shard -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             rid, train = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=bool)
             for a, b, texts in texts_of(batch.column(2)):
                 predicted, context, owner = _pairs(texts)
-                ids, learn = rid[a:b], train[a:b].astype(np.uint8)
-                out = _by_bucket(buckets, ids, [ids, np.bincount(owner, minlength=b - a).astype(np.uint32)], -1)
                 # one sort by a fingerprint of the pair brings equal pairs together, documents in order
                 mixed = combine(predicted, context)
                 order = np.argsort(mixed, kind="stable")
@@ -97,56 +108,45 @@ def _spread(shards: int, buckets: int, hot: np.ndarray):
                 own = new.copy()
                 own[1:] |= owner[1:] != owner[:-1]
                 first, lines = np.flatnonzero(new), np.flatnonzero(own)
-                p, c, m = predicted[order[first]], context[order[first]], mixed[first]
-                # of each distinct pair its lines (document, times); of each line its document
+                p, c, m = predicted[order[first]], context[order[first]] >> CONTEXT_SHIFT, mixed[first]
+                # of each distinct pair its lines; of each line its document and how often
                 n_lines = np.diff(np.append(np.searchsorted(lines, first), len(lines)))
                 line_owner, times = owner[lines], np.diff(np.append(lines, len(mixed)))
-                route = np.where(np.isin(p, hot), m, p)
-                shard = np.searchsorted(_edges(shards), route, side="right")
-                order = np.lexsort((c, p, shard))
+                pair = np.repeat(np.arange(len(first)), n_lines)
+                seen = np.bincount(pair, weights=times * train[a:b][line_owner], minlength=len(first)).astype(np.uint32)
+                part = np.searchsorted(_edges(shards * PARTS), np.where(np.isin(p, hot), m, p), side="right")
+                order = np.lexsort((c, p, part))
                 start = (np.cumsum(n_lines) - n_lines)[order]
                 n_lines = n_lines[order]
                 take = np.repeat(start - (np.cumsum(n_lines) - n_lines), n_lines) + np.arange(len(lines))
-                line_owner, times = line_owner[take].astype(np.uint32), times[take].astype(np.uint32)
-                shard, p, c = shard[order], p[order], c[order]
-                edge = np.searchsorted(shard, np.arange(shards + 1))
-                line_edge = np.concatenate([[0], np.cumsum(n_lines)])[edge]
-                for s in np.flatnonzero(np.diff(edge)):
-                    i, j, u, v = edge[s], edge[s + 1], line_edge[s], line_edge[s + 1]
-                    word, begin, many = np.unique(p[i:j], return_index=True, return_counts=True)
-                    here, index = np.unique(line_owner[u:v], return_inverse=True)
-                    out.append((int(s), pack(np.diff(word, prepend=np.uint64(0)), many.astype(np.uint32), c[i:j], n_lines[i:j].astype(np.uint32), index.astype(np.uint32), times[u:v], ids[here], learn[here])))
-                yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([c for _, c in out], pa.binary())], names=["shard", "cell"])
+                part, p, c, seen = part[order], p[order], c[order], seen[order]
+                edge = np.searchsorted(part, np.arange(shards * PARTS + 1))
+                out = [(-1, -1, pack(rid[a:b], n_lines.astype(np.uint32), line_owner[take].astype(np.uint32), times[take].astype(np.uint32)))]
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    i, j = edge[s], edge[s + 1]
+                    word, many = np.unique(p[i:j], return_counts=True)
+                    some, which = np.unique(c[i:j], return_inverse=True)
+                    out.append((s // PARTS, s, pack(np.diff(word, prepend=np.uint64(0)), many.astype(np.uint32), np.diff(some, prepend=np.uint64(0)), which.astype(np.uint32), seen[i:j])))
+                yield pa.record_batch([pa.array([s for s, _, _ in out], pa.int32()), pa.array([s for _, s, _ in out], pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([c for _, _, c in out], pa.binary())], names=["shard", "part", "chunk", "cell"])
+                number += 1
 
     return run
 
 
-def _by_bucket(buckets: int, rid: np.ndarray, columns: list[np.ndarray], sign: int) -> list[tuple[int, bytes]]:
-    """Packed rows by document bucket, numbered sign * bucket (from -1 down, or from 0 up)."""
-    bucket = (rid.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(int(-1 - s if sign < 0 else s), pack(*(x[order[edge[s] : edge[s + 1]]] for x in columns))) for s in np.flatnonzero(np.diff(edge))]
+def _fixed(x: np.ndarray, lowest: float, grid: float, kind: type) -> np.ndarray:
+    return np.clip(np.rint((x - lowest) / grid), 0, np.iinfo(kind).max).astype(kind)
 
 
-def _score_shard(buckets: int, hot: np.ndarray, hot_counts: np.ndarray, n_tokens: int, n_words: int, mu: float):
-    """A shard's pairs -> its trie -> partial sums of its documents."""
+def _answer(hot: np.ndarray, hot_counts: np.ndarray, n_tokens: int, n_words: int, mu: float):
+    """A shard's pairs -> a trie for each part -> answers: of each chunk's words their count and value, of its pairs their gain."""
     total = n_tokens + n_words + 1
 
-    def run(table: pa.Table) -> pa.Table:
-        shard, cells = table.column("shard")[0].as_py(), table.column("cell").to_pylist()
-        if shard < 0:
-            return pa.table({"bucket": pa.array([-1 - shard] * len(cells), pa.int32()), "cell": pa.array(cells, pa.binary())})
-        parts = []
-        for raw in cells:
-            word, many, c, n_lines, owner, times, rid, learn = unpack(raw)
-            p = np.repeat(np.cumsum(word, dtype=np.uint64), many)
-            pair = np.repeat(np.arange(len(p)), n_lines)
-            seen = np.bincount(pair, weights=times * learn[owner], minlength=len(p))
-            parts.append((p, c, seen, pair, owner, times, rid))
-        del cells
-        # distinct pairs of the shard and their counts
-        p, c, seen = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    def answers(cells: list[bytes]) -> list[bytes]:
+        asked = [unpack(raw) for raw in cells]
+        p = np.concatenate([np.repeat(np.cumsum(x[0], dtype=np.uint64), x[1]) for x in asked])
+        c = np.concatenate([np.cumsum(x[2], dtype=np.uint64)[x[3]] for x in asked])
+        seen = np.concatenate([x[4] for x in asked]).astype(np.float64)
+        # distinct pairs and their counts
         order = np.lexsort((c, p))
         p, c, seen = p[order], c[order], seen[order]
         new = np.ones(len(p), bool)
@@ -155,51 +155,57 @@ def _score_shard(buckets: int, hot: np.ndarray, hot_counts: np.ndarray, n_tokens
         where = np.empty(len(p), np.int64)
         where[order] = np.cumsum(new) - 1
         p, c, pair_count = p[first], c[first], np.add.reduceat(seen, first)
-        # counts of the predicted words: of the shard's own, or as sent for those spread over all shards
+        # counts of the predicted words: of their own pairs, or as sent for those spread over all shards
         word, inverse = np.unique(p, return_inverse=True)
         count = np.bincount(inverse, weights=pair_count)
         if len(hot):
             k = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
             count = np.where(hot[k] == word, hot_counts[k], count)
-        one = np.log10((count + 1) / total)
         there, kept = count > 0, pair_count > 0
+        value = np.log10((count + 1) / total) + np.log10(mu / (count + mu))
         gain = np.log10(1 + pair_count[kept] * total / (mu * (count[inverse[kept]] + 1)))
-        trie = Trie.build(word[there], (one + np.log10(mu / (count + mu)))[there], p[kept], c[kept], gain).mapped()
+        trie = Trie.build(word[there], value[there], p[kept], c[kept], gain).mapped()
         known, level1, hit, level2 = trie.lookup(p, c)
-        score = np.where(known, level1, -np.log10(total)) + np.where(hit, level2, 0.0)
-        base, is_known = np.log10(count + 1)[inverse], there[inverse]
-        ids, sums, at = [], [], 0
-        for part in parts:
-            pair, owner, times, rid = part[3:]
-            i = where[at : at + len(part[0])][pair]
-            at += len(part[0])
-            ids.append(rid)
-            sums.append([np.bincount(owner, weights=times * x[i], minlength=len(rid)) for x in (score, base, is_known)])
-        ids = np.concatenate(ids)
-        score, base, is_known = (np.concatenate([s[k] for s in sums]) for k in range(3))
-        rid, inverse = np.unique(ids, return_inverse=True)
-        columns = [rid, *(np.bincount(inverse, weights=x) for x in (score, base)), np.bincount(inverse, weights=is_known).astype(np.uint32)]
-        out = _by_bucket(buckets, rid, columns, 1)
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "cell": pa.array([c for _, c in out], pa.binary())})
+        value = np.where(known, level1, -np.log10(total))
+        by_pair, by_word = _fixed(np.where(hit, level2, 0.0), 0.0, GAIN_GRID, np.uint8), _fixed(value[np.searchsorted(p, word)], LOWEST, GRID, np.uint16)
+        out, at = [], 0
+        for delta, many, _, _, _ in asked:
+            n = int(many.sum())
+            w = np.searchsorted(word, np.cumsum(delta, dtype=np.uint64))
+            out.append(pack(many, count[w].astype(np.uint64), by_word[w], by_pair[where[at : at + n]]))
+            at += n
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:
+            return table.select(["chunk", "part", "cell"])
+        part, done = table.column("part").to_numpy(), []
+        for k in np.unique(part):
+            here = table.take(pa.array(np.flatnonzero(part == k)))
+            done.append(pa.table({"chunk": here.column("chunk"), "part": here.column("part"), "cell": pa.array(answers(here.column("cell").to_pylist()), pa.binary())}))
+            pa.default_memory_pool().release_unused()
+        return pa.concat_tables(done)
 
     return run
 
 
 def _sum_up(total: int):
-    """A bucket's partial sums -> a row per document fingerprint."""
+    """A chunk's lines and answers -> a row per document."""
 
     def run(table: pa.Table) -> pa.Table:
-        lines, sums = [], []
-        for raw in table.column("cell").to_pylist():
-            got = unpack(raw)
-            (lines if len(got) == 2 else sums).append(got)
-        if not lines:
-            return pa.table({"rid": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        rid, inverse, times = np.unique(np.concatenate([x[0] for x in lines]), return_inverse=True, return_counts=True)
-        tokens = np.bincount(inverse, weights=np.concatenate([x[1] for x in lines])) / times
-        at = np.searchsorted(rid, np.concatenate([x[0] for x in sums]))
-        score, base, known = (np.bincount(at, weights=np.concatenate([x[k] for x in sums]), minlength=len(rid)) / times for k in (1, 2, 3))
-        return pa.table({"rid": pa.array(rid), "n_tokens": pa.array(np.rint(tokens).astype(np.int64)), "n_known": pa.array(np.rint(known).astype(np.int64)), "base_score": pa.array(base - tokens * np.log10(total)), "score": pa.array(score)})
+        part, cells = table.column("part").to_numpy(), table.column("cell").to_pylist()
+        order = np.argsort(part, kind="stable")
+        rid, n_lines, owner, times = unpack(cells[order[0]])
+        score, base, known = [], [], []
+        for k in order[1:]:
+            many, count, value, gain = unpack(cells[k])
+            score.append(np.repeat(value * GRID + LOWEST, many) + gain * GAIN_GRID)
+            base.append(np.repeat(np.log10(count + 1.0), many))
+            known.append(np.repeat(count > 0, many))
+        pair = np.repeat(np.arange(len(n_lines)), n_lines)
+        add = lambda x: np.bincount(owner, weights=times * np.concatenate(x)[pair], minlength=len(rid))
+        tokens = np.bincount(owner, weights=times, minlength=len(rid))
+        return pa.table({"rid": pa.array(rid), "n_tokens": pa.array(np.rint(tokens).astype(np.int64)), "n_known": pa.array(np.rint(add(known)).astype(np.int64)), "base_score": pa.array(add(base) - tokens * np.log10(total)), "score": pa.array(add(score))})
 
     return run
 
@@ -218,7 +224,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     shards = max(1, -(-volume // BYTES_PER_SHARD))
 
     totals = base.filter(~F.col("held_out")).select("text").mapInArrow(_count(shards), "shard int, cell binary").groupBy("shard").applyInArrow(_totals, "word long, n long, distinct long")
-    totals = totals.groupBy("word").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
+    totals = checkpoint(totals.groupBy("word").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")))
     zero = totals.filter("word = 0 and distinct > 0").collect()
     n_tokens = n_train + sum(r.n for r in zero)
     n_words = (n_train > 0) + sum(r.distinct for r in zero)
@@ -229,8 +235,12 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     hot_counts = np.array([counts[int(h)] for h in hot], dtype=np.float64)
 
     rows = base.select(F.xxhash64("doc_id", "text").alias("rid"), (~F.col("held_out")).alias("train"), "text")
-    spread = rows.mapInArrow(_spread(shards, shards, hot), "shard int, cell binary")
-    partial = spread.groupBy("shard").applyInArrow(_score_shard(shards, hot, hot_counts, n_tokens, n_words, mu), "bucket int, cell binary")
-    scored = partial.groupBy("bucket").applyInArrow(_sum_up(n_tokens + n_words + 1), "rid long, n_tokens long, n_known long, base_score double, score double")
+    spread = rows.mapInArrow(_spread(shards, hot), "shard int, part int, chunk long, cell binary")
+    # lines of many chunks share a shard number below 0, one for each bucket of chunks
+    spread = spread.withColumn("shard", F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(4 * shards))).otherwise(F.col("shard")).cast("int"))
+    answered = spread.groupBy("shard").applyInArrow(_answer(hot, hot_counts, n_tokens, n_words, mu), "chunk long, part int, cell binary")
+    scored = answered.groupBy("chunk").applyInArrow(_sum_up(n_tokens + n_words + 1), "rid long, n_tokens long, n_known long, base_score double, score double")
+    # rows repeated in full are scored alike in each of their places
+    scored = scored.dropDuplicates(["rid"])
     ids = base.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("rid"))
     return ids.join(scored, "rid").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

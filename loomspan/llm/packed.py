@@ -87,7 +87,8 @@ def chunks(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def texts_of(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def texts_of(column: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first, end, texts as UTF-8) of a string column in runs of bounded size, so one run at a time is in memory."""
     for a, b in chunks(pc.binary_length(column).to_pylist(), most):
         yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
+        pa.default_memory_pool().release_unused()
