@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 SLOTS = 1024
 CLASSES = 16
 REFRESH = 16
@@ -46,7 +46,7 @@ class Order0:
         ids, weights = ids[order], weights[order].astype(np.float64)
         total = max(weights.sum(), 1.0)
         cls = np.minimum((np.cumsum(weights) - weights) / total * CLASSES, CLASSES - 1).astype(np.int64)
-        self.cls, self.cum, self.freq = np.zeros(size, np.int64), np.zeros(size, _U), np.zeros(size, _U)
+        self.cls, self.cum, self.freq = np.zeros(size, np.int8), np.zeros(size, _U), np.zeros(size, _U)
         self.lookup = np.zeros((CLASSES, 1 << 16), np.int32)
         for c in range(CLASSES):
             here = np.flatnonzero(cls == c)
@@ -63,50 +63,56 @@ class Order0:
 class _Model:
     """State of n lanes, and what it predicts for the next id of each."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, vocabulary: int):
         self.n = n
         self.at = np.arange(n, dtype=np.int64) * SLOTS
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        # entry: id | check << 32 | confidence << 40
-        self.tables = [np.zeros(n * SLOTS, np.int64) for _ in range(2)]
+        self.p1, self.p2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        # entry: id | check << width | confidence << (width + 8); 32 bits where ids have at most 16
+        self.width = 16 if vocabulary <= 1 << 16 else 32
+        self.kind = np.uint32 if self.width == 16 else np.uint64
+        self.tables = [np.zeros(n * SLOTS, self.kind) for _ in range(2)]
         self.mix = np.tile(np.array([0, 24000, 36000, 48000, 30000, 42000, 52000, 56000] * 4, np.int64).clip(64, 65472), n)
         self.mix_at = np.arange(n, dtype=np.int64) * 32
         self.classes = np.full((n, CLASSES), (1 << 12) // CLASSES, np.int64)
         self.class_cum = np.cumsum(self.classes, axis=1) - self.classes
-        self.seen = np.zeros((REFRESH, n), np.int64)
+        self.seen = np.zeros((REFRESH, n), np.int8)
         self.class_at = np.arange(n, dtype=np.int64) * CLASSES
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Predicted id and its chance of 2^16 (0 where nothing is predicted) for the first n lanes."""
         p1, p2 = self.p1[:n], self.p2[:n]
-        a, b = p1 * 40503 + 12345, p1 * 24571 + p2 * 60493 + 54321
-        a ^= a >> 11
-        b ^= b >> 13
-        self.slot = (self.at[:n] + (a & (SLOTS - 1)), self.at[:n] + (b & (SLOTS - 1)))
-        self.check = ((a >> 10) & 255, (b >> 10) & 255)
+        first = p1 * np.uint32(2654435761)
+        second = first ^ p2 * np.uint32(2246822519)
+        second = second * np.uint32(3266489917)
+        self.slot = (self.at[:n] + (first >> np.uint32(22)), self.at[:n] + (second >> np.uint32(22)))
+        self.check = ((first >> np.uint32(14)) & np.uint32(255), (second >> np.uint32(14)) & np.uint32(255))
+        w = self.kind(self.width)
         self.entry = tuple(t[s] for t, s in zip(self.tables, self.slot, strict=True))
-        self.conf = tuple(np.where((e >> 32) & 255 == c, e >> 40, 0) for e, c in zip(self.entry, self.check, strict=True))
-        one, two = self.entry[0] & 0xFFFFFFFF, self.entry[1] & 0xFFFFFFFF
+        self.conf = tuple(np.where((e >> w) & self.kind(255) == c, e >> self.kind(self.width + 8), self.kind(0)) for e, c in zip(self.entry, self.check, strict=True))
+        low = self.kind((1 << self.width) - 1)
+        one, two = self.entry[0] & low, self.entry[1] & low
         has2 = self.conf[1] > 0
         guess = np.where(has2, two, one)
-        self.context = self.mix_at[:n] + self.conf[1] * 8 + self.conf[0] * 2 + (one == two)
+        self.context = self.mix_at[:n] + (self.conf[1] * self.kind(8) + self.conf[0] * self.kind(2) + (one == two))
         self.chance = self.mix[self.context]
-        return guess, np.where(has2 | (self.conf[0] > 0), self.chance, 0)
+        return guess.astype(np.int64), np.where(has2 | (self.conf[0] > 0), self.chance, 0)
 
     def learn(self, n: int, x: np.ndarray, guessed: np.ndarray, asked: np.ndarray, cls: np.ndarray, step: int) -> None:
         p = self.chance
         self.mix[self.context] = np.where(asked > 0, np.clip(p + np.where(guessed, (65536 - p) >> 4, -(p >> 4)), 64, 65472), p)
+        own, w, low = x.astype(self.kind), self.kind(self.width), self.kind((1 << self.width) - 1)
         for table, slot, check, entry, conf in zip(self.tables, self.slot, self.check, self.entry, self.conf, strict=True):
-            same = (entry & 0xFFFFFFFF == x) & (conf > 0)
+            id_ = entry & low
+            same = (id_ == own) & (conf > 0)
             stays = (conf > 1) & ~same
-            conf = np.where(same, np.minimum(conf + 1, 3), np.where(stays, conf - 1, 1))
-            table[slot] = np.where(stays, entry & 0xFFFFFFFF, x) | check << 32 | conf << 40
+            conf = np.where(same, np.minimum(conf + self.kind(1), self.kind(3)), np.where(stays, conf - self.kind(1), self.kind(1)))
+            table[slot] = np.where(stays, id_, own) | check.astype(self.kind) << w | conf << self.kind(self.width + 8)
         self.p2[:n] = self.p1[:n]
         self.p1[:n] = x
         self.seen[step % REFRESH, :n] = cls
         if step % REFRESH == REFRESH - 1:
             # move a quarter of the way to what the last ids were
-            fresh = np.bincount((self.seen[:, :n] + self.class_at[:n]).ravel(), minlength=n * CLASSES).reshape(n, CLASSES)
+            fresh = np.bincount((self.class_at[:n] + self.seen[:, :n]).ravel(), minlength=n * CLASSES).reshape(n, CLASSES)
             c = self.classes[:n]
             c += (fresh * ((1 << 12) // REFRESH) - c) >> 2
             np.maximum(c, 8, out=c)
@@ -132,7 +138,7 @@ def _run(lengths: np.ndarray, order0: Order0, ids: np.ndarray | None, digits: np
     """Code lanes of falling length. With ids [step, lane]: their digits; with digits [lane, place]: the ids."""
     n = len(lengths)
     steps = int(lengths[0]) if n else 0
-    model = _Model(n)
+    model = _Model(n, len(order0.cls))
     low, span = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
     encode = ids is not None
     place = np.zeros(n, np.int64)
@@ -152,7 +158,7 @@ def _run(lengths: np.ndarray, order0: Order0, ids: np.ndarray | None, digits: np
         guess, asked = model.predict(k)
         edge = (sp >> _S16) * asked.astype(_U)
         if encode:
-            x = ids[t, :k]
+            x = ids[t, :k].astype(np.int64)
             hit = (x == guess) & (asked > 0)
         else:
             hit = code[:k] - lo < edge
@@ -174,7 +180,7 @@ def _run(lengths: np.ndarray, order0: Order0, ids: np.ndarray | None, digits: np
         lom, r2 = lo[miss] + r * c_cum, (r * c_freq) >> _S16
         if not encode:
             value = np.minimum((code[miss] - lom) // r2, _U((1 << 16) - 1)).astype(np.int64)
-            xm = order0.lookup[(cls << 16) + value].astype(np.int64)
+            xm = order0.lookup[(cls.astype(np.int64) << 16) + value].astype(np.int64)
             x = guess
             x[miss] = xm
             out[t, :k] = x
@@ -203,7 +209,6 @@ def _run(lengths: np.ndarray, order0: Order0, ids: np.ndarray | None, digits: np
 
 def encode(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     """A segment of documents: their ids (int or None), how many token ids each has, and all token ids in order."""
-    ids = ids.astype(np.int64)
     count = np.bincount(ids, minlength=vocabulary) if len(ids) else np.zeros(vocabulary, np.int64)
     used = np.flatnonzero(count)
     # weights that fit 16 bits; the least is 1
@@ -216,7 +221,7 @@ def encode(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, vocabulary: int,
     payloads: list[bytes] = []
     for a in range(0, n_blocks, LANES):
         some = sizes[a : a + LANES]
-        grid = np.zeros(len(some) * block, np.int64)
+        grid = np.zeros(len(some) * block, np.int32)
         part = ids[a * block : a * block + int(some.sum())]
         grid[: len(part)] = part
         payloads += _run(some, order0, np.ascontiguousarray(grid.reshape(len(some), block).T), None)
