@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspan import fixed
 from loomspan.functions import money, scores, text, urls
-from loomspan.operators import classify, detect, dom, extract, joins, windows
+from loomspan.operators import classify, commerce, compress, detect, dom, extract, joins, metadata, windows
 from loomspan.plans import digest, fixtures
 from loomspan.sources import pages as sources
 from loomspan.streaming import state
@@ -644,3 +644,75 @@ def page_digest(spark, sf_dir):
 def page_prompt(spark, sf_dir):
     p = _pages(spark, sf_dir)
     return digest.prompt(digest.digest(p), extract.interactables(p), extract.images(p))
+
+
+# compressors, metadata, commerce
+
+
+def _style_sql(name: str) -> str:
+    s = compress.STYLES[name]
+    some = lambda x, terms: "(" + " OR ".join(f"contains({x}, {fixtures.quoted(t)})" for t in terms) + ")" if terms else "false"
+    short = f"length(line) < {s.below}"
+    by = some("line" if s.exact else "lower(line)", s.terms)
+    part = f"substr(line, 1, {s.cut})"
+    if s.indent:
+        part = f"CASE WHEN {short} THEN {part} ELSE '{s.indent}' || {part} END"
+    if s.numbered:
+        part = f"'Q' || row_number() OVER (PARTITION BY page_id ORDER BY pos) || '. ' || {part}"
+    head = f"SELECT page_id, pos - 1000000000 AS pos, '{s.tag}' || substr(line, 1, 200) AS part FROM {LINES} WHERE {some('lower(line)', s.first)}"
+    return f"""WITH h AS ({head}), s AS (SELECT page_id, sum(length(part) + 1) AS spent FROM h GROUP BY page_id),
+        r AS (SELECT page_id, pos, {part} AS part FROM {LINES} WHERE length(line) >= {s.least} AND ({short} OR {by})),
+        b AS (SELECT r.*, sum(length(part) + 1) OVER (PARTITION BY page_id ORDER BY pos) + coalesce(spent, 0) AS run FROM r LEFT JOIN s USING (page_id))
+        SELECT page_id, string_agg(part, chr(10) ORDER BY pos) AS text FROM (SELECT page_id, pos, part FROM b WHERE run <= 600 UNION ALL SELECT page_id, pos, part FROM h) GROUP BY page_id"""
+
+
+def _style(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return compress.text_of(compress.compress(extract.text_lines(_pages(spark, sf_dir)), compress.STYLES[name], 600))
+
+    return run
+
+
+for _name in compress.STYLES:
+    QUERIES[f"compress_{_name}"] = _style(_name)
+    SQL[f"compress_{_name}"] = _style_sql(_name)
+
+
+@query()
+def typed_context(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    return compress.by_type(extract.text_lines(p), classify.classify(p).select("page_id", "page_type"), 950)
+
+
+@query()
+def page_metadata(spark, sf_dir):
+    return metadata.cascade(_pages(spark, sf_dir))
+
+
+@query()
+def navigation_hints(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    return commerce.hints(extract.interactables(p), classify.classify(p).select("page_id", "page_type"))
+
+
+@query()
+def product_options(spark, sf_dir):
+    return commerce.options(extract.interactables(_pages(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE found) AS hits, round(CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*), 9) AS recall FROM (SELECT bool_or(contains(lower(d.text), lower(substr(b.text, 1, 60)))) AS found FROM benchmark b CROSS JOIN (SELECT string_agg(text, chr(10)) AS text FROM documents) d GROUP BY b.item_id)")
+def field_recall(spark, sf_dir):
+    """Share of expected values (the first 60 characters of benchmark items) that the texts hold.
+
+    Candidates share the value's first three words with a text (an equi-join), then containment is tested.
+    """
+    key = lambda c: F.lower(F.concat_ws(" ", F.slice(F.split(F.trim(c), r"\s+"), 1, 3)))
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("value"), key(F.col("text")).alias("k"))
+    # the words are made once, in front of a generator; then every run of three is a short slice
+    bodies = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(F.lower("text").alias("body"), F.split(F.lower(F.trim("text")), r"\s+").alias("words")))).alias("s"))
+    bodies = bodies.select("doc_id", F.col("s.body").alias("body"), F.col("s.words").alias("words"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 3)))
+    texts = bodies.select("doc_id", "body", F.explode(F.array_distinct(grams)).alias("k"))
+    hit = items.join(texts, "k").filter(F.col("body").contains(F.col("value"))).select("item_id").distinct().withColumn("found", F.lit(True))
+    out = items.select("item_id").distinct().join(hit, "item_id", "left").agg(F.count("*").alias("total"), F.count("found").alias("hits"))
+    return out.select("total", "hits", F.round(F.col("hits") / F.col("total"), 9).alias("recall"))

@@ -105,3 +105,44 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = sorted((r.start, r.event_type, r.n) for r in spark.sql("SELECT * FROM w").collect())
     want = sorted((r.start, r.event_type, r.n) for r in state.windowed(spark.read.parquet(src), "ts", "1 day", "1 day", None, "event_type").collect())
     assert got == want
+
+
+def test_metadata_and_commerce(spark):
+    from loomspan.operators import commerce, compress, metadata
+
+    rows = [
+        (1, "https://a.example.com/p", '<script type="application/ld+json">{"@context":"x","@graph":[{"@type":"Product","name":"Desk","offers":{"@type":"AggregateOffer","lowPrice":"1,299.50","priceCurrency":"EUR"},"brand":{"name":"Oak"},"aggregateRating":{"ratingValue":"4.5","reviewCount":"12"},"image":["https://i.example.com/d.jpg"]}]}</script><h1>Other</h1><select name="Size"><option>S</option><option>M sold out</option></select><select aria-label="Color"><option>Red sold out</option></select><button>Add to cart</button>'),
+        (2, "https://a.example.com/n", '<script type="application/ld+json">[{"@type":["NewsArticle"],"headline":"Rain","author":[{"name":"A. Writer"}],"datePublished":"2026-02-03T01:00"},{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"B"},{"position":1,"item":{"name":"A","@id":"https://a.example.com/"}}]}]</script>'),
+        (3, "https://a.example.com/x", '<script type="application/ld+json">{broken</script><h1>Only a heading</h1><ul><li>Lamp $10</li><li>Lamp $10</li><li>Desk 20€</li><li>no price</li></ul>'),
+    ]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    r = metadata.products(p).first()
+    assert (r.name, r.price, r.currency, r.brand, r.rating, r.review_count, r.image_url) == ("Desk", 1299.5, "EUR", "Oak", 4.5, 12, "https://i.example.com/d.jpg")
+    a = metadata.articles(p).first()
+    assert (a.headline, a.author, a.date_published) == ("Rain", "A. Writer", "2026-02-03")
+    assert [(b.name, b.url) for b in metadata.breadcrumbs(p).orderBy("position").collect()] == [("A", "https://a.example.com/"), ("B", None)]
+    assert {r.page_id: (r.name, r.source) for r in metadata.cascade(p).collect()} == {1: ("Desk", "json_ld"), 2: (None, ""), 3: ("Only a heading", "h1")}
+    assert [(c.pos, c.name) for c in commerce.cards(p).orderBy("pos").collect()] == [(1, "Lamp"), (2, "Desk")]
+    elements = extract.interactables(p)
+    values = commerce.options(elements)
+    assert {(v.kind, v.selection_order, v.value, v.available) for v in values.collect()} == {("size", 2, "S", True), ("size", 2, "M sold out", False), ("color", 1, "Red sold out", False)}
+    state_of = spark.createDataFrame([(1, "in_stock", [])], "page_id long, availability string, selected array<string>")
+    assert commerce.blocked_reason(values, state_of).first().reason == "all_sold_out"
+    assert commerce.hints(elements, spark.createDataFrame([(1, "product_detail")], "page_id long, page_type string")).first().add_to_cart_ref == 1
+    lines = spark.createDataFrame([(1, 0, "Email"), (1, 1, "invalid password"), (1, 2, "nothing here")], "page_id long, pos int, line string")
+    assert compress.text_of(compress.compress(lines, compress.STYLES["login"], 100)).first().text == "[error] invalid password\nEmail\ninvalid password"
+
+
+def test_snapshots_and_sinks(spark, tmp_path):
+    from loomspan.sources import pages as sources
+
+    for site, page, url in (("a", "1", "https://a.com/1"), ("b", "2", None)):
+        d = tmp_path / "in" / site / page
+        d.mkdir(parents=True)
+        (d / "raw.html").write_text(f"<p>{site}</p>")
+        if url:
+            (d / "snapshot.json").write_text('{"url": "%s"}' % url)
+    got = sources.read_snapshots(spark, str(tmp_path / "in"))
+    assert sorted((r.site_id, r.page_dir, r.url, r.html) for r in got.collect()) == [("a", "1", "https://a.com/1", "<p>a</p>"), ("b", "2", None, "<p>b</p>")]
+    sources.write_pages(got, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
