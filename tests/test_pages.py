@@ -146,3 +146,21 @@ def test_snapshots_and_sinks(spark, tmp_path):
     assert sorted((r.site_id, r.page_dir, r.url, r.html) for r in got.collect()) == [("a", "1", "https://a.com/1", "<p>a</p>"), ("b", "2", None, "<p>b</p>")]
     sources.write_pages(got, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_streamed_mean_equals_batch(spark, sf, tmp_path):
+    """The stateful stream ends with the last batch value of each key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = str(tmp_path / "in")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").filter("user_id < 20")
+    events.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(events.schema).parquet(src)
+    q = state.stream_ema(stream, "user_id", "value").writeStream.outputMode("update").format("memory").queryName("m").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.user_id: round(r.ema, 6) for r in spark.sql("SELECT * FROM m").collect()}
+    ordered = events.withColumn("o", F.struct("ts", "event_id"))
+    rows = {}
+    for r in ordered.orderBy("ts", "event_id").collect():
+        rows[r.user_id] = r.value if r.user_id not in rows else 0.3 * r.value + 0.7 * rows[r.user_id]
+    assert got == {k: round(v, 6) for k, v in rows.items()}
