@@ -13,6 +13,8 @@ Buckets are hash ranges of the shuffle order, so one source with a third of all
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from loomspan.llm.common import SPACE, checkpoint, text_of
 LATTICE = 1 << 31
 STEP = 1327217885
 BLOCK_WORDS = 1024
-ROWS_PER_BUCKET = 20_000
+LEAST_ROWS_PER_BUCKET = 1_000
 MAX_EPOCHS = 3
 
 
@@ -54,6 +56,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame
     return t.withColumn("target", F.when(F.col("fits"), share).otherwise(F.col("cap").cast("double"))).select("source", "source_size", "weight", "cap", "target")
 
 
+def n_buckets(rows: int) -> int:
+    """Buckets of a two-step prefix sum: about the square root of the rows in each, so that neither the rows of a bucket
+    nor a source's list of buckets outgrows a task (170,000 of each at 30 billion rows)."""
+    return max(1, rows // max(LEAST_ROWS_PER_BUCKET, math.isqrt(rows)))
+
+
 def _prefix(rows: DataFrame, group: str, bucket: str, order: list[str], size: Column, name: str) -> DataFrame:
     """Exclusive running sum of ``size`` in (bucket, order) order inside each group, without a window over a group."""
     rows = rows.withColumn("_size", size)
@@ -87,7 +95,7 @@ def source_slots(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     cell = lambda at: F.floor(at.cast("decimal(38,0)") * F.lit(cells) / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("long")
     spans = goals.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
     owned = slots.join(spans, "cell").filter("at >= lo and at < hi").select("source", "slot", "blocks", "quota")
-    chunk = max(ROWS_PER_BUCKET, 1)
+    chunk = max(1, -(-total // n_buckets(total)))
     owned = owned.withColumn("part", F.floor(F.col("slot") / chunk))
     ranked = checkpoint(_prefix(owned, "source", "part", ["slot"], F.lit(1), "k"))
     got = ranked.groupBy("source").agg(F.count("*").alias("n"))
@@ -112,9 +120,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = checkpoint(rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = checkpoint(targets(sizes, weights))
-    n_buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET))
+    parts = n_buckets(rows.count())
     code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
-    shuffled = rows.withColumn("code", code).withColumn("part", F.floor(F.col("code") * n_buckets / F.lit(1 << 32)))
+    shuffled = rows.withColumn("code", code).withColumn("part", F.floor(F.col("code") * parts / F.lit(1 << 32)))
     placed = _prefix(shuffled, "source", "part", ["code", "id", "size", "nth"], F.col("size"), "at")
     placed = placed.join(goals.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "part", "code")
     placed = checkpoint(placed.withColumn("quota", F.floor("target").cast("long")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import stored, text_of
-from loomspan.llm.mixing import ROWS_PER_BUCKET, _prefix
+from loomspan.llm.mixing import _prefix, n_buckets
 
 WINDOW = 1024
 
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     full = int(counts[window])
     made, cut_up = plan(counts[:window], window)
     places = Places(([((window,), full)] if full else []) + made, cut_up, window)
-    parts = max(1, -(-int(counts.sum()) // ROWS_PER_BUCKET))
+    parts = n_buckets(int(counts.sum()))
     rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     ranked = _prefix(rows, "length", "part", ["doc_id", "start", "ids_crc32"], F.lit(1), "rank").drop("part")
     schema = f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
