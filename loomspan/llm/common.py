@@ -10,6 +10,7 @@ Conventions used by every operator of this subpackage:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,11 +50,15 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, stem: str) -> DataFrame:
-    """Write a table into the shared folder and read it back (columnar and compressed, unlike a checkpoint)."""
+def stored_at(df: DataFrame, stem: str) -> tuple[DataFrame, str]:
+    """Write a table into the shared folder and read it back (columnar and compressed, unlike a checkpoint); with its place."""
     path = new_path(df.sparkSession, stem)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, stem: str) -> DataFrame:
+    return stored_at(df, stem)[0]
 
 
 def text_of(column: str | Column) -> Column:
@@ -61,5 +66,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that stored_at() wrote and nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles and checkpoints that nothing refers to any more, now and not only when the driver
+    happens to collect its garbage: iterative steps leave many."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

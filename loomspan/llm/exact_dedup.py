@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import SPACE, checkpoint, text_of
+from loomspan.llm.common import SPACE, checkpoint, sweep, text_of
 
 BLOCK_BYTES = 4096
 
@@ -93,6 +93,7 @@ def _reduce(rows: DataFrame, given: DataFrame, top: int) -> DataFrame:
         done = done.unionByName(rest.filter("left = 1").select("id", "sha", "name"))
         rest = rest.filter("left > 1")
         top = (top + 1) // 2
+        sweep(rows.sparkSession)
     done = done.select(F.col("id").alias("i"), F.col("sha").alias("s"), "name")
     return rows.join(done, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s"))).drop("i", "s")
 
@@ -106,8 +107,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = name_texts(docs, id_col, text_col, block_bytes, key_bits)
     named = checkpoint(named)
+    sweep(docs.sparkSession)
     groups = named.groupBy("n_blocks", "name").agg(F.min("id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    out = named.join(groups, ["n_blocks", "name"])
+    # joined by another key than grouped by: both sides are exchanged for the join, so a hot group's rows can be split
+    whole = F.concat_ws("|", "n_blocks", "name").alias("whole")
+    out = named.select("id", "sha", "n_rows", whole).join(groups.select(whole, "keep_id", "group_size"), "whole")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
     first_null = F.col("keep_id").isNull() & F.col("id").isNull()
     return out.select(
