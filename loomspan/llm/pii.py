@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import text_of
+from loomspan.llm.packed import texts_of
 
 ROUNDS = 8
 #: Only a default for tests and benchmarks; give a secret of your own.
@@ -236,17 +237,18 @@ def feistel_pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [pseudonymise(t, key) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([len(f) for _, f in made], pa.int64()),
-                    pa.array([",".join(sorted({k for k, _, _ in f})) for _, f in made], pa.string()),
-                    pa.array([bool(f) for _, f in made], pa.bool_()),
-                    pa.array([t for t, _ in made], pa.string()),
-                    pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in made], spans),
-                ],
-                names=["doc_id", "n_found", "kinds", "changed", "text", "spans"],
-            )
+            for a, b, texts in texts_of(batch.column(1)):
+                made = [pseudonymise(t.decode(), key) for t in texts]
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([len(f) for _, f in made], pa.int64()),
+                        pa.array([",".join(sorted({k for k, _, _ in f})) for _, f in made], pa.string()),
+                        pa.array([bool(f) for _, f in made], pa.bool_()),
+                        pa.array([t for t, _ in made], pa.string()),
+                        pa.array([[{"kind": k, "start": i, "end": j} for k, i, j in f] for _, f in made], spans),
+                    ],
+                    names=["doc_id", "n_found", "kinds", "changed", "text", "spans"],
+                )
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_found long, kinds string, changed boolean, text string, spans array<struct<kind:string,start:int,end:int>>")
