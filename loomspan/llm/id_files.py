@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import id_codec
 from loomspan.llm.common import text_of
+from loomspan.llm.packed import release
 
 #: Ids of a segment, about; a longer document is one segment.
 SEGMENT_IDS = id_codec.LANES * id_codec.BLOCK
@@ -49,6 +50,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", e
             segment = id_codec.encode(names, np.array(lengths, np.int64), np.concatenate(parts), size)
             row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([segment], pa.binary())], names=["part", "number", "n_ids", "segment"])
             number, held = number + 1, 0
+            release()
             names.clear(), lengths.clear(), parts.clear()
             return row
 
@@ -88,6 +90,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 columns += [pa.array(names, pa.int64()), pa.array(starts), pa.array(lengths), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
                 columns += [pa.array([bytes(p) for p in pieces], pa.binary())] * with_ids
                 yield pa.record_batch(columns, names=["part", "number", "doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                release()
 
     docs = files.select("part", "number", "segment").mapInArrow(run, "part int, number int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     out = docs.join(starts, ["part", "number"]).withColumn("start", F.col("start") + F.col("before"))

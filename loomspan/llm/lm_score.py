@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import checkpoint, text_of
 from loomspan.llm.elias_fano import Trie
-from loomspan.llm.packed import combine, pack, texts_of, unpack, words
+from loomspan.llm.packed import combine, pack, release, texts_of, unpack, words
 
 MU = 300.0
 HOT = 4096
@@ -183,7 +183,7 @@ def _answer(hot: np.ndarray, hot_counts: np.ndarray, n_tokens: int, n_words: int
         for k in np.unique(part):
             here = table.take(pa.array(np.flatnonzero(part == k)))
             done.append(pa.table({"chunk": here.column("chunk"), "part": here.column("part"), "cell": pa.array(answers(here.column("cell").to_pylist()), pa.binary())}))
-            pa.default_memory_pool().release_unused()
+            release()
         return pa.concat_tables(done)
 
     return run

@@ -6,6 +6,7 @@ small numbers) cost almost nothing under the shuffle's own compression.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Iterator
 
@@ -87,8 +88,18 @@ def chunks(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is free again back to the system: workers live on, and so would their largest moments."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def texts_of(column: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first, end, texts as UTF-8) of a string column in runs of bounded size, so one run at a time is in memory."""
     for a, b in chunks(pc.binary_length(column).to_pylist(), most):
         yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
-        pa.default_memory_pool().release_unused()
+        release()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments kept by a process; the cache starts anew when full. It bounds memory and changes no result.
-CACHED = 1_000_000
+CACHED = 500_000
 _PLAIN = {"word": re.compile(r"[^\W\d_]+"), "byte": re.compile(r"[^\s\0]\S*")}
 _CLOSED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 _SPACE = re.compile(r"\s").search
@@ -155,9 +155,10 @@ def encoder(path: str, kind: str) -> Encoder:
     return Encoder(path, kind)
 
 
-def encoded(path: str, kind: str, texts: pa.Array, most: int = 8 << 20):
+def encoded(path: str, kind: str, texts: pa.Array, most: int = 4 << 20):
     """(first, end, ids, offsets) of a string column in runs of bounded size."""
-    from loomspan.llm.packed import chunks
+    from loomspan.llm.packed import chunks, release
 
     for a, b in chunks(pc.binary_length(texts).to_pylist(), most):
         yield a, b, *encoder(path, kind)(texts.slice(a, b - a))
+        release()
