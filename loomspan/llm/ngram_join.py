@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import checkpoint, stored, text_of
+from loomspan.llm.common import checkpoint, discard, stored_at, sweep, text_of
 from loomspan.llm.components import components
-from loomspan.llm.packed import combine, pack, texts_of, unpack, words
+from loomspan.llm.packed import combine, pack, release, texts_of, unpack, words
 
 GRAM = 5
 #: A link: LINK_OF * intersection >= LINK * union.
@@ -94,6 +94,7 @@ def _shared(buckets: int):
     """Packed shingles of a shard -> those that occur in several sets, packed by the set's bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         cells = table.column("cell").to_pylist()
         if table.column("shard")[0].as_py() < 0:
             return pa.table({"bucket": pa.array([-1] * len(cells), pa.int32()), "cell": pa.array(cells, pa.binary())})
@@ -148,6 +149,7 @@ def prefix_length(n: int) -> int:
 
 def _survivors(table: pa.Table) -> pa.Table:
     """Sets of a bucket that may link: rid, n, keys (sorted), bits, prefix."""
+    release()
     keys, owner, size, df = [], [], [], []
     for raw in table.column("cell").to_pylist():
         k, o, rid, n, d = unpack(raw)
@@ -273,9 +275,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(volume) // BYTES_PER_SHARD))
     spread = base.select(F.xxhash64("text").alias("rid"), "text").mapInArrow(_spread(shards), "shard int, cell binary")
-    shared = stored(spread.groupBy("shard").applyInArrow(_shared(shards), "bucket int, cell binary"), "shared")
-    sizes = shared.filter("bucket < 0").mapInArrow(_sizes, "rid long, n long").distinct()
-    sets = stored(shared.filter("bucket >= 0").groupBy("bucket").applyInArrow(_survivors, "rid long, n long, keys binary, bits binary, prefix array<long>"), "sets")
+    shared, shared_path = stored_at(spread.groupBy("shard").applyInArrow(_shared(shards), "bucket int, cell binary"), "shared")
+    sizes = checkpoint(shared.filter("bucket < 0").mapInArrow(_sizes, "rid long, n long").distinct())
+    sets, sets_path = stored_at(shared.filter("bucket >= 0").groupBy("bucket").applyInArrow(_survivors, "rid long, n long, keys binary, bits binary, prefix array<long>"), "sets")
+    discard(docs.sparkSession, shared_path)
+    sweep(docs.sparkSession)
 
     rows = sets.select(F.explode("prefix").alias("token"), "rid", "n")
     centre = rows.groupBy("token").agg(F.min(F.struct("n", "rid")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("c.n").alias("n_c"), F.col("c.rid").alias("a"))
@@ -293,6 +297,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not left.isEmpty():
         edges = checkpoint(edges.unionByName(_linked(_across(left, sets), sets)))
         comp = components(edges)
+    discard(docs.sparkSession, sets_path)  # all links are in the checkpoint of edges
+    sweep(docs.sparkSession)
     placed = ids.groupBy("rid").agg(F.min("id").alias("least")).join(sizes, "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     placed = checkpoint(placed)
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
