@@ -34,6 +34,11 @@ _TOP, _BOT, _MASK = _U(1 << 48), _U(1 << 40), _U((1 << 40) - 1)
 _S16, _S12, _S48 = _U(16), _U(12), _U(48)
 
 
+#: By confidence and whether the id was right: the next confidence, and whether the old id stays.
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.uint8)
+_STAYS = np.array([False, False, False, False, True, True, True, True])
+
+
 class CorruptBlock(ValueError):
     """A block's checksum doesn't fit."""
 
@@ -75,6 +80,7 @@ class _Model:
         self.mix_at = np.arange(n, dtype=np.int64) * 32
         self.classes = np.full((n, CLASSES), (1 << 12) // CLASSES, np.int64)
         self.class_cum = np.cumsum(self.classes, axis=1) - self.classes
+        self.class_rows = np.ascontiguousarray(self.class_cum.T.astype(np.int16))
         self.seen = np.zeros((REFRESH, n), np.int8)
         self.class_at = np.arange(n, dtype=np.int64) * CLASSES
 
@@ -99,14 +105,14 @@ class _Model:
 
     def learn(self, n: int, x: np.ndarray, guessed: np.ndarray, asked: np.ndarray, cls: np.ndarray, step: int) -> None:
         p = self.chance
-        self.mix[self.context] = np.where(asked > 0, np.clip(p + np.where(guessed, (65536 - p) >> 4, -(p >> 4)), 64, 65472), p)
+        self.mix[self.context] = np.where(asked > 0, p + np.where(guessed, (65536 - p) >> 4, -(p >> 4)), p)
         own, w, low = x.astype(self.kind), self.kind(self.width), self.kind((1 << self.width) - 1)
         for table, slot, check, entry, conf in zip(self.tables, self.slot, self.check, self.entry, self.conf, strict=True):
             id_ = entry & low
-            same = (id_ == own) & (conf > 0)
-            stays = (conf > 1) & ~same
-            conf = np.where(same, np.minimum(conf + self.kind(1), self.kind(3)), np.where(stays, conf - self.kind(1), self.kind(1)))
-            table[slot] = np.where(stays, id_, own) | check.astype(self.kind) << w | conf << self.kind(self.width + 8)
+            # what the confidence (0 to 3) becomes when the id was right, and when not; an id stays while it has some left
+            at = (conf + conf + (id_ == own)).astype(np.int64)
+            keep = np.where(_STAYS[at], id_, own)
+            table[slot] = keep | check.astype(self.kind) << w | _NEXT[at].astype(self.kind) << self.kind(self.width + 8)
         self.p2[:n] = self.p1[:n]
         self.p1[:n] = x
         self.seen[step % REFRESH, :n] = cls
@@ -121,6 +127,7 @@ class _Model:
             if short.any():
                 c[short] = (1 << 12) // CLASSES
             self.class_cum[:n] = np.cumsum(c, axis=1) - c
+            self.class_rows[:, :n] = self.class_cum[:n].T
 
 
 def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -173,8 +180,9 @@ def _run(lengths: np.ndarray, order0: Order0, ids: np.ndarray | None, digits: np
             where = model.class_at[miss] + cls
             c_cum, c_freq = model.class_cum.reshape(-1)[where].astype(_U), model.classes.reshape(-1)[where].astype(_U)
         else:
-            value = np.minimum((code[miss] - lo[miss]) // r, _U((1 << 12) - 1)).astype(np.int64)
-            cls = (model.class_cum[miss] <= value[:, None]).sum(axis=1) - 1
+            every = np.zeros(k, np.int16)
+            every[miss] = np.minimum((code[miss] - lo[miss]) // r, _U((1 << 12) - 1))
+            cls = ((model.class_rows[:, :k] <= every).sum(axis=0, dtype=np.int8) - np.int8(1))[miss]
             where = model.class_at[miss] + cls
             c_cum, c_freq = model.class_cum.reshape(-1)[where].astype(_U), model.classes.reshape(-1)[where].astype(_U)
         lom, r2 = lo[miss] + r * c_cum, (r * c_freq) >> _S16
