@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments kept by a process; the cache starts anew when full. It bounds memory and changes no result.
-CACHED = 500_000
+CACHED = 800_000
 _PLAIN = {"word": re.compile(r"[^\W\d_]+"), "byte": re.compile(r"[^\s\0]\S*")}
 _CLOSED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 _SPACE = re.compile(r"\s").search
