@@ -1,6 +1,7 @@
 """Format-preserving Feistel pseudonyms for personal data.
 
 Values are found by pattern and validated (card: Luhn; IBAN: mod 97; SSN: assigned ranges; IP: octets; date: calendar).
+Where a card or IBAN runs on into other groups, its shorter forms are tried, and after a failure the search goes on at the next place.
 Each is read as one integer of the domain of its format, permuted there by a keyed Feistel network and
 written back in the same format: a card stays a Luhn-valid card of the same grouping, a date a date written the same
 way. A permutation is injective, so equal values get equal pseudonyms in every document and different values never meet;
@@ -139,7 +140,7 @@ def _phone(s: str, key: bytes, back: bool) -> str | None:
     d = _digits(s)
     if not 8 <= len(d) <= 15:
         return None
-    country = len(re.match(r"\+?(\d{0,3})", s)[1]) if s[0] == "+" else 0
+    country = len(re.match(r"\+?(\d{0,3})", s)[1]) if s[0] == "+" else int(re.match(r"1\D|0\d\D", s) is not None)
     return _refill(s, d[:country] + _chars(d[country:], key, f"phone{d[:country]}", back))
 
 
@@ -163,8 +164,14 @@ def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
 
 
 def _day_first(s: str, key: bytes, back: bool) -> str | None:
-    """Day before month where that is a date, else month first; the written order is kept by the day-first reading."""
-    return _date("dmy")(s, key, back) or _date("mdy")(s, key, back)
+    """Day before month where that is a date, else month first: days above 12, permuted among themselves so that the result
+    is no day-first date either."""
+    made = _date("dmy")(s, key, back)
+    if made is None:
+        made = _date("mdy")(s, key, back)
+        while made and int(made[3:5]) <= 12:
+            made = _date("mdy")(made, key, back)
+    return made
 
 
 def _email(s: str, key: bytes, back: bool) -> str | None:
@@ -177,23 +184,58 @@ def _secret(s: str, key: bytes, back: bool) -> str | None:
     return _chars(s, key, "secret", back, ("0123456789abcdef",) if s == s.lower() else ("0123456789ABCDEF",)) if len(set(s)) > 4 else None
 
 
+#: Length of an IBAN by country.
+_IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22
+GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31
+MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24
+XK20 YE30""".split()}
+
+
+def _group_ends(text: str, start: int, end: int, least: int, more: re.Pattern) -> list[tuple[int, int]]:
+    """(characters, end) of the prefixes of a match that end with a group and have ``least`` characters, longest first."""
+    made, n = [], 0
+    for i in range(start, end):
+        n += text[i].isalnum()
+        if text[i].isalnum() and n >= least and not more.match(text, i + 1):
+            made.append((n, i + 1))
+    return made[::-1]
+
+
+_MORE_DIGITS, _MORE_LETTERS = re.compile(r"\d|\.\d"), re.compile(r"[0-9A-Za-z]")
+
+
+def _card_ends(text: str, start: int, end: int) -> list[int]:
+    return [e for _, e in _group_ends(text, start, end, 13, _MORE_DIGITS)]
+
+
+def _iban_ends(text: str, start: int, end: int) -> list[int]:
+    """The country's length first, then the longest."""
+    length = _IBAN_LENGTHS.get(text[start : start + 2])
+    return [e for _, e in sorted(_group_ends(text, start, end, 15, _MORE_LETTERS), key=lambda x: x[0] != length)]
+
+
 class Kind(NamedTuple):
     name: str
     pattern: re.Pattern
     rewrite: Callable[[str, bytes, bool], str | None]
+    #: where the value may end, best first; only at the end of the match if not given
+    ends: Callable[[str, int, int], list[int]] | None = None
 
 
 #: In order of priority; a place taken by one kind is not read as another.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}(?<![.-])"), _email),
     Kind("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"), _secret),
-    Kind("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])"), _iban),
+    Kind("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}"), _iban, _iban_ends),
     Kind("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
     Kind("date", re.compile(r"(?<![\d./-])\d{4}([-/.])\d{2}\1\d{2}(?![\d]|[./-]\d)"), _date("ymd")),
     Kind("date", re.compile(r"(?<![\d./-])\d{2}([-/.])\d{2}\1\d{4}(?![\d]|[./-]\d)"), _day_first),
     Kind("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"), _ssn),
-    Kind("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)"), _card),
-    Kind("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.+-])\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"), _phone),
+    # cards as they are grouped on the plastic, then any grouping
+    Kind("card", re.compile(r"(?<![\d.-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?!\d)"), _card, _card_ends),
+    Kind("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}"), _card, _card_ends),
+    Kind("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.+-])\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.+-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w.+-])0\d(?:[ .-]\d{2}){4}(?![\d-])"), _phone),
 )
 _ANY = re.compile(r"[0-9@]|[a-fA-F]{32}")
 
@@ -210,15 +252,21 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     found: list[tuple[int, int, str, str]] = []
     for k, kind in enumerate(KINDS):
         taken = sorted((a, b) for a, b, _, _ in found)
-        at = 0
-        for m in kind.pattern.finditer(text):
+        at = pos = 0
+        while m := kind.pattern.search(text, pos):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            if at < len(taken) and taken[at][0] < m.end():
+            limit = taken[at][0] if at < len(taken) else len(text)
+            if limit <= m.start():
+                pos = taken[at][1]
                 continue
-            new = _written(k, m[0], key, back)
-            if new is not None:
-                found.append((m.start(), m.end(), kind.name, new))
+            pos = m.start() + 1
+            for end in kind.ends(text, *m.span()) if kind.ends else [m.end()]:
+                new = _written(k, text[m.start() : end], key, back) if end <= limit else None
+                if new is not None:
+                    found.append((m.start(), end, kind.name, new))
+                    pos = end
+                    break
     found.sort()
     out, at = [], 0
     for a, b, _, new in found:

@@ -406,6 +406,23 @@ def test_pseudonyms(docs, awkward, empty):
     assert pii.feistel_pseudonyms(awkward).count() == len(AWKWARD) and pii.feistel_pseudonyms(empty).count() == 0
 
 
+def test_pseudonyms_run_on():
+    """Valid values followed or led by more groups, common phone forms, and dates of either order."""
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    held = [(f"card {card} 12/25", card), (f"order 12 {card}", card), ("4111111111111111 12 25", "4111111111111111"), (f"{card}-12345678", card), (f"2024-01-02 {card} 2024-01-02", card)]
+    held += [(f"{iban} EUR", iban), (f"{iban} BIC COBADEFF", iban), ("DE89370400440532013000 AND", "DE89370400440532013000"), (f"AB12 {iban}", iban)]
+    held += [("call 1-800-555-0199 now", "1-800-555-0199"), ("or 555 123 4567.", "555 123 4567"), ("tel 01 23 45 67 89", "01 23 45 67 89")]
+    for text, value in held:
+        out, found = pii.pseudonymise(text)
+        assert value in [text[a:b] for _, a, b in found] and value not in out and len(out) == len(text)
+        assert pii.pseudonymise(out, back=True)[0] == text
+    assert pii.pseudonymise(f"{card} 12/25")[0][:19] == pii.pseudonymise(card)[0] and pii.pseudonymise(f"{iban} EUR")[0][:27] == pii.pseudonymise(iban)[0]
+    dates = [f"{a:02d}/{b:02d}/{y}" for y in range(1900, 2100, 7) for a in range(1, 32) for b in range(1, 32)]
+    made = {t: pii.pseudonymise(t)[0] for t in dates if pii.pseudonymise(t)[1]}
+    assert len(set(made.values())) == len(made) and any(int(t[3:5]) > 12 for t in made)
+    assert all(pii.pseudonymise(new, back=True)[0] == t for t, new in made.items())
+
+
 # compaction
 
 
