@@ -1,7 +1,7 @@
 """Whole-text tokenization, a column at a time, with a per-process cache of segments.
 
 Both vocabularies split a text at white space before they merge, so the ids of a text are those of its segments in a
-row. Columns are cut into segments and made distinct by Arrow; only segments that this process hasn't met are encoded,
+row. The string of an added token, which holds no white space, is that token wherever it stands in a text. Columns are cut into segments and made distinct by Arrow; only segments that this process hasn't met are encoded,
 most of them many at a time; the ids of all texts are then gathered by index.
 """
 
@@ -35,7 +35,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = kind
         self._forget()
         self.feed = self.tokenizer.token_to_id("Ċ")

@@ -283,6 +283,21 @@ def test_id_files_empty(spark, empty):
     assert id_files.read_ids(spark, path).count() == 0
 
 
+def test_added_tokens(spark):
+    """The strings of added tokens are encoded as the unmodified tokenizers do, wherever they stand."""
+    from tokenizers import Tokenizer
+
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "end", "of.", "é漢", "  ", " ", "\n", "\n\n", "\t", "\xa0", "\x1f", "7"]
+    rng = np.random.default_rng(0)
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|>b\n<|startoftext|> c"] + ["".join(marks[k] for k in rng.integers(0, len(marks), n)) for n in rng.integers(1, 30, 400)]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_files(spark, held)
+    plain = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    got = packing.pack(held, queries.vocabulary("byte_bpe_50k.json"), with_ids=True).toPandas().sort_values("start")
+    ids = got.groupby("doc_id").ids.apply(lambda x: np.frombuffer(b"".join(x), "<u4").tolist()).to_dict()
+    assert ids == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 # language model
 
 
