@@ -11,8 +11,11 @@ the inline elements in it; list items and table cells close their like; the end
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +34,7 @@ KEPT_ATTRS = ("class", "itemprop", "itemtype", "role", "aria-label", "href", "da
 # Limits of sibling grouping.
 GROUP_MAX, SINGLE_MAX, MERGE_MIN, MAX_DEPTH = 700, 500, 20, 100
 _DENSE = re.compile("[　-鿿가-힯豈-﫿]")
-NODE_SCHEMA = "page_id long, node_id int, parent_id int, last_id int, depth int, tag string, attrs map<string,string>, text string, own_text string, link_chars int, xpath string, in_main boolean, in_article boolean, fields int"
+NODE_SCHEMA = "page_id long, node_id int, parent_id int, last_id int, depth int, tag string, attrs map<string,string>, text string, own_text string, link_chars int, xpath string, in_main boolean, in_article boolean, fields int, alike int"
 CHUNK_SCHEMA = "page_id long, pos int, xpath string, parent_xpath string, tag string, kind string, depth int, in_main boolean, text string, attrs map<string,string>"
 
 
@@ -168,6 +171,7 @@ def node_rows(html: str) -> list[dict]:
                     "own_text": " ".join("".join(p for p in node.parts if isinstance(p, str)).split()), "xpath": paths[id(node)], "in_main": main, "in_article": article,
                     "link_chars": sum(len(flat_text(a)) for a in _descendants(node) if a.tag == "a"),
                     "fields": sum(d.tag in ("input", "select", "button", "textarea") for d in _descendants(node)),
+                    "alike": max(Counter((c.tag, frozenset(c.attrs.get("class", "").split()[:3])) for c in node.children).values(), default=0),
                 }
             )
             inside = main or node.tag == "main" or node.attrs.get("role") == "main"
@@ -285,13 +289,26 @@ HIDING = {
     "sr-only-hidden": r"(?s)(?=.*overflow\s*:\s*hidden)(?=.*(?:width|height)\s*:\s*1px)(?=.*position\s*:\s*absolute)",
     "zero-dimension": r"(?s)(?=.*(?:width|height)\s*:\s*0(?:px)?\s*(?:[;!]|$))(?=.*overflow\s*:\s*hidden)",
 }
-#: Reasons that hide text from readers: such nodes are never rescued.
+#: Reasons that hide text from readers: such nodes are never spared or rescued.
 SECURITY = ["aria-hidden", *HIDING]
+#: Reasons whose removals may be rescued.
+RESCUABLE = ["link-density-high", "link-density"]
+#: Content worth a rescue, and containers of grids.
+RESCUE = [
+    r"(?:₩|원|\$|€|£|¥)\s*[\d,]+|\d{2,3}(?:,\d{3})+",
+    r"(?i)(?:★|⭐|\d+\.\d+\s*/\s*\d+|\d+\.\d+점|ratingValue|평점|별점|rating|stars?)",
+    r"(?i)(?:리뷰\s*\d+|reviews?\s*\(?\d+|reviewCount|\d+\s*(?:reviews?|리뷰|개의\s*평가))",
+]
+_GRID = ["div", "section", "ul", "ol", "main", "article", "table", "tbody"]
 _LINKY = ["div", "section", "ul", "ol", "p", "td", "li", "aside", "table"]
 
 
 def weigh(table: DataFrame, schema: str = "Generic") -> DataFrame:
-    """nodes with weight and reason: the first rule that fits, in order."""
+    """nodes with weight and reason: the first rule that fits, in order.
+
+    A grid is a container of three children or more of one tag and one set of first classes, most of its text in links; it, what is in
+    it and what holds it are spared the rules of link density.
+    """
     a = lambda k: F.coalesce(F.col("attrs")[k], F.lit(""))
     role, style, tag = F.lower(a("role")), a("style"), F.col("tag")
     names = F.concat_ws(" ", a("class"), a("id"))
@@ -341,17 +358,45 @@ def weigh(table: DataFrame, schema: str = "Generic") -> DataFrame:
         value = F.struct(F.lit(weight).alias("weight"), F.lit(reason).alias("reason"))
         pick = F.when(cond, value) if pick is None else pick.when(cond, value)
     pick = pick.otherwise(F.struct(F.lit(1.0).alias("weight"), F.lit("default").alias("reason")))
-    return table.withColumn("_p", pick).withColumn("weight", F.col("_p.weight")).withColumn("reason", F.col("_p.reason")).drop("_p")
-
-
-def remove(weighed: DataFrame, threshold: float = 0.5) -> DataFrame:
+    out = table.withColumn("_p", pick).withColumn("_grid", tag.isin(_GRID) & (F.col("alike") >= 3) & (linked > 0.5))
+    # the rules from prose on come after the grid's
+    order = Window.partitionBy("page_id").orderBy("node_id")
+    spare = tag.isin(_LINKY) & F.col("_p.reason").isin("article-p-link-dense", "article-content-p", "link-density-high", "link-density", "default")
+    in_grid = F.max(F.when(F.col("_grid"), F.col("last_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("node_id")
+    holds_grid = F.min(F.when(F.col("_grid"), F.col("node_id"))).over(order.rowsBetween(1, Window.unboundedFollowing)) <= F.col("last_id")
+    by_grid = F.when(spare & in_grid, "grid-whitelist").when(spare & holds_grid, "grid-whitelist-ancestor")
+    out = out.withColumn("_by", by_grid).withColumn("weight", F.when(F.col("_by").isNotNull(), 0.8).otherwise(F.col("_p.weight")))
+    return out.withColumn("reason", F.coalesce("_by", "_p.reason")).drop("_p", "_grid", "_by")
+
+
+def remove(weighed: DataFrame, threshold: float = 0.5, schema: str = "Generic") -> DataFrame:
     """weighed nodes with ``removed`` (the top of a removed subtree) and ``gone`` (in one). One pass in document order:
-    a node is inside a removed subtree if an earlier removed node's last number reaches it."""
-    exempt = F.col("tag").isin("html", "body", "main")
-    order = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = weighed.withColumn("_low", (F.col("weight") < threshold) & ~exempt)
-    out = out.withColumn("_in", F.coalesce(F.max(F.when(F.col("_low"), F.col("last_id"))).over(order) >= F.col("node_id"), F.lit(False)))
-    return out.withColumn("removed", F.col("_low") & ~F.col("_in")).withColumn("gone", F.col("_low") | F.col("_in")).drop("_low", "_in")
+    a node is inside a removed subtree if an earlier removed node's last number reaches it.
+
+    Children of main stay unless they are hidden. Where less than 100 characters would be left, and on products, nodes removed for their links come
+    back if what is left in them has a price, h1, rating or review count; a second pass settles what is in what.
+    """
+    page = Window.partitionBy("page_id")
+    order = page.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max(F.when(F.col("_low"), F.col("last_id"))).over(order) >= F.col("node_id"), F.lit(False))
+    exempt = F.col("tag").isin("html", "body", "main") | (F.col("xpath").rlike(r"/main(?:\[\d+\])?/[^/]+$") & ~F.col("reason").isin(SECURITY))
+    out = weighed.withColumn("_low", (F.col("weight") < threshold) & ~exempt).withColumn("_in", inside)
+    left = F.sum(F.when(~F.col("_low") & ~F.col("_in"), F.length("own_text")).otherwise(0)).over(page)
+    linked = F.col("_low") & F.col("reason").isin(RESCUABLE)
+    out = out.withColumn("_need", (left < 100) | F.lit(schema == "Product")).withColumn("_need", F.col("_need") & F.coalesce(F.max(linked).over(page), F.lit(False)))
+    # what is left in a low node: the text of its nodes that are in no low node further in
+    every = F.collect_list(F.when(F.col("_need"), F.struct("node_id", "last_id", "own_text", (F.col("tag") == "h1").alias("h1"), F.col("_low").alias("low")))).over(page)
+    out = out.withColumn("_nodes", F.array_sort(every))
+    own = F.filter("_nodes", lambda x: (x.node_id >= F.col("node_id")) & (x.node_id <= F.col("last_id")))
+    further = lambda x: F.exists("_nodes", lambda y: y.low & (y.node_id > F.col("node_id")) & (y.node_id <= x.node_id) & (y.last_id >= x.node_id))
+    kept = F.filter(own, lambda x: ~further(x))
+    out = out.withColumn("_own", F.when(F.col("_need") & linked, kept))
+    text = F.trim(F.array_join(F.transform("_own", lambda x: x.own_text), " "))
+    out = out.withColumn("_kept", F.coalesce(text, F.lit(""))).withColumn("_h1", F.coalesce(F.exists("_own", lambda x: x.h1), F.lit(False)))
+    signal = (F.col("_kept") != "") & reduce(or_, (F.col("_kept").rlike(p) for p in RESCUE), F.col("_h1"))
+    out = out.withColumn("_low", F.col("_low") & ~(F.col("_need") & linked & signal)).withColumn("_in", inside)
+    out = out.withColumn("removed", F.col("_low") & ~F.col("_in")).withColumn("gone", F.col("_low") | F.col("_in"))
+    return out.drop("_low", "_in", "_need", "_nodes", "_own", "_kept", "_h1")
 
 
 def prune(table: DataFrame, text_min: int = 50, no_main_text: int = 30, no_main_form: int = 20, media_min: int = 10, no_main_media: int = 20) -> DataFrame:

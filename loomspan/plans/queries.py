@@ -622,7 +622,7 @@ def idle_sessions(spark, sf_dir):
 
 @query()
 def dom_nodes(spark, sf_dir):
-    return dom.nodes(_pages(spark, sf_dir)).drop("attrs", "text")
+    return dom.nodes(_pages(spark, sf_dir)).drop("attrs", "text", "alike")
 
 
 @query()

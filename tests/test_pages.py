@@ -164,3 +164,22 @@ def test_streamed_mean_equals_batch(spark, sf, tmp_path):
     for r in ordered.orderBy("ts", "event_id").collect():
         rows[r.user_id] = r.value if r.user_id not in rows else 0.3 * r.value + 0.7 * rows[r.user_id]
     assert got == {k: round(v, 6) for k, v in rows.items()}
+
+
+def test_content_is_not_lost(spark):
+    """Children of main, grids, and what a page would be empty without stay; hidden nodes don't."""
+    link = "<a href='#'>one of the many links of this page, rather long and dull</a>"
+    page = {
+        1: f"<body><main><div id='x'>{link}</div><div id='y' style='display:none'>{link}</div></main></body>",
+        2: "<body><article><p>" + "plain words " * 20 + f"</p></article><div id='x'><div id='z' class='c'>{link}</div><div class='c'>{link}</div><div class='c'>{link}</div></div><div id='y'>{link}</div></body>",
+        3: f"<body><div id='x'><h1>{link}</h1><p>$ 12</p><span id='y' style='display:none'>no</span></div><div id='z'>{link}</div></body>",
+        4: "<body><article><p>" + "plain words " * 20 + f"</p></article><div id='y'><h1>{link}</h1><p>$ 12</p></div></body>",
+    }
+    nodes = dom.nodes(spark.createDataFrame(list(page.items()), "page_id long, html string"))
+    rows = dom.remove(dom.weigh(nodes)).collect()
+    got = {(r.page_id, r.attrs["id"]): (r.removed, r.gone) for r in rows if "id" in r.attrs}
+    assert not any(got[k][1] for k in [(1, "x"), (2, "x"), (2, "z"), (3, "x")])
+    assert all(got[k][0] for k in [(1, "y"), (2, "y"), (3, "y"), (3, "z"), (4, "y")])
+    product = dom.remove(dom.weigh(nodes, "Product"), schema="Product").filter("page_id = 4").collect()
+    assert not any(r.gone for r in product)
+    assert {r.reason for r in rows if r.weight == 0.8 and r.page_id == 2} == {"grid-whitelist"}
