@@ -123,10 +123,14 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+#: An SPDX tag up to an id of its expression; the ids before that one are the group.
+_TAG = r"spdx-license-identifier:\s{0,8}((?:[( \t]{0,8}[a-z0-9.+:-]{1,60}[) \t]{1,8}(?:and|or|with)[ \t]{1,8}){0,31})[( \t]{0,8}"
+
+
 def _loose(words: str) -> str:
-    """A phrase with free white space and punctuation between its words, whole words only."""
+    """A phrase with free white space, punctuation and comment marks between its words, whole words only."""
     parts = re.findall(r"[a-z0-9*'+.]+", words.lower())
-    return r"(?<![a-z0-9])" + r"[\s,;:()\"/_-]{1,12}".join(re.escape(p).replace("license", "licen[sc]e").replace("licence", "licen[sc]e") for p in parts) + r"(?![a-z0-9])"
+    return r"(?<![a-z0-9])" + r"[\s,;:()\"/_*#>-]{1,12}".join(re.escape(p).replace("license", "licen[sc]e").replace("licence", "licen[sc]e") for p in parts) + r"(?![a-z0-9])"
 
 
 def _keywords(words: str) -> frozenset[str]:
@@ -141,7 +145,7 @@ def rules() -> tuple[Rule, ...]:
     add = lambda label, form, words, pattern: made.append(Rule(label.lower(), form, _keywords(words), re.compile(pattern)))
     for line in FAMILIES.strip().splitlines():
         spdx, name, address, short = (x.strip() for x in line.split(" | "))
-        add(spdx, "tag", f"spdx {spdx}".replace("-", " "), r"spdx-license-identifier:\s{0,8}\(?" + re.escape(spdx.lower()) + r"(?:-only|-or-later|\+)?(?![a-z0-9.-]*[a-z0-9])")
+        add(spdx, "tag", f"spdx {spdx}".replace("-", " "), _TAG + re.escape(spdx.lower()) + r"(?:-only|-or-later|\+)?(?![a-z0-9.-]*[a-z0-9])")
         add(spdx, "address", address.replace("/", " ").replace("-", " ").replace("_", " "), re.escape(address))
         add(spdx, "grant", f"licen {name}", r"licen[sc]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?" + _loose(name))
         add(spdx, "name", name, _loose(name))
@@ -178,7 +182,9 @@ class Found(NamedTuple):
 def detect(text: str) -> list[Found]:
     """Detections left after suppression, by place. ``text`` has its A-Z lower-cased."""
     held = {w for _, w in _gate().iter(text)}
-    every = [(rank, m.start(), m.end(), r) for rank, r in enumerate(rules()) if r.keywords <= held for m in r.pattern.finditer(text)]
+    # a later id of an expression stands for itself alone
+    start = lambda m, r: text.rindex(r.label, 0, m.end()) if r.form == "tag" and m[1] else m.start()
+    every = [(rank, start(m, r), m.end(), r) for rank, r in enumerate(rules()) if r.keywords <= held for m in r.pattern.finditer(text)]
     every.sort(key=lambda x: (-FORMS[x[3].form], -(x[2] - x[1]), x[1], x[0]))
     taken: list[tuple[int, int, str, str]] = []  # by place; accepted detections don't overlap
     for _, a, b, r in every:

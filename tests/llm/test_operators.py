@@ -397,6 +397,18 @@ def test_licenses(awkward, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_in_comments():
+    """Clauses that wrap inside comment blocks, and every id of an SPDX expression."""
+    labels = lambda t: sorted(f.label for f in licenses.detect(t))
+    for mark in ("// ", " * ", "# ", "> "):
+        assert labels(f"{mark}redistribution and use in source and binary forms, with or without\n{mark}modification, are permitted") == ["bsd"]
+        assert labels(f"{mark}permission is hereby granted, free of charge, to any person obtaining a copy\n{mark}of this software") == ["mit"]
+    tag = "spdx-license-identifier: "
+    assert labels(tag + "mit or apache-2.0") == ["apache-2.0", "mit"] and labels(tag + "mit\nor apache-2.0") == ["mit"]
+    assert labels(tag + "(mit or apache-2.0) and bsd-3-clause\n") == ["apache-2.0", "bsd-3-clause", "mit"]
+    assert [f.form for f in licenses.detect(tag + "gpl-2.0-only with classpath-exception-2.0 or mit")] == ["tag", "tag"]
+
+
 # personal data
 
 
