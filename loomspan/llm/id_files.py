@@ -3,9 +3,10 @@
 Segments are the rows of a Parquet table (one binary column and its counts), so Spark's committer publishes them all or not
 at all, and any store that Spark writes to will do. Each segment is a complete unit of the format in id_codec.
 
-Scale notes: one range exchange by id puts documents in order; tokenizing and coding happen after it in the same task,
-a bounded run of text at a time, so ids are never shuffled. Places before a segment are a running sum over the segments'
-counts: one short row for each few MB of ids.
+Scale notes: one range exchange by (id, hash of the text) puts documents in order, also where one id (or none) stands in many
+rows; the number of its partitions follows the bytes of text. Tokenizing and coding happen after it in the same task,
+a bounded run of text at a time, so ids are never shuffled. Places before a segment are a running sum over one short row a
+partition, then over the segments of each partition.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ from loomspan.llm.packed import release
 
 #: Ids of a segment, about; a longer document is one segment.
 SEGMENT_IDS = id_codec.LANES * id_codec.BLOCK
+#: Text of a partition, about.
+PARTITION_BYTES = 32 << 20
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Write all documents in ascending order of id (nulls first), the end id after each one's ids.
 
-    A null or empty text is the end id alone; rows repeated in full are written each. Empty input writes an empty table.
+    A null or empty text is the end id alone; rows repeated in full are written each; rows of one id stand in order of a hash
+    of their texts. A document of any length is in one segment. Other columns are ignored. Empty input writes an empty table.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = partitions or 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION_BYTES
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "hash")
+    rows = rows.sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -47,11 +51,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", e
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held
-            segment = id_codec.encode(names, np.array(lengths, np.int64), np.concatenate(parts), size)
+            every = np.concatenate(parts)
+            parts.clear()
+            segment = id_codec.encode(names, np.array(lengths, np.int64), every, size)
             row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([segment], pa.binary())], names=["part", "number", "n_ids", "segment"])
             number, held = number + 1, 0
             release()
-            names.clear(), lengths.clear(), parts.clear()
+            names.clear(), lengths.clear()
             return row
 
         for batch in batches:
@@ -75,8 +81,11 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", e
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids as little-endian bytes)."""
     files = spark.read.schema("part int, number int, n_ids long, segment binary").parquet(path)
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "number", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    counts = files.select("part", "number", "n_ids")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("base"))
+    starts = counts.withColumn("inside", before(Window.partitionBy("part").orderBy("number"))).join(parts, "part")
+    starts = starts.select("part", "number", (F.col("base") + F.col("inside")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
