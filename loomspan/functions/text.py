@@ -82,6 +82,8 @@ def multiplier(locale: Column, html: Column) -> Column:
 def lines(html: Column) -> Column:
     """Visible text lines in order: no code, tags as line breaks, entities decoded, trimmed, no empty ones."""
     text = unescape(F.regexp_replace(without_code(html), r"<[^>]+>", "\n"))
+    # what stood in two elements doesn't run together where CJK meets a digit
+    text = F.regexp_replace(text, r"([\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}])([0-9])", "$1 $2")
     text = F.regexp_replace(F.regexp_replace(text, " ", " "), r"[ \t]+", " ")
     return F.filter(F.transform(F.split(text, "\n"), trim), lambda x: x != "")
 
@@ -132,3 +134,55 @@ def result_count(text: Column) -> Column:
     """'1,234 results' -> 1234; null if there is none."""
     found = F.regexp_extract(text, r"(?i)([0-9][0-9,]*)[ \t]*(?:results|items|products)", 1)
     return F.replace(F.nullif(found, F.lit("")), F.lit(","), F.lit("")).try_cast("long")
+
+
+def _hostile(text: Column) -> Column:
+    """Without what may not be shown: terminal codes, control and invisible characters."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(unescape(text), "\u00a0", " "), r"\x1b\[[0-9;]*[a-zA-Z]", ""), _CONTROL, "")
+
+
+def sanitize_block(text: Column, most: int = 50_000) -> Column:
+    """As sanitize, for a block: line feeds and spacing stay."""
+    text = F.regexp_replace(F.regexp_replace(_hostile(text), _ROLES, ""), r"(?i)<[ \t]*/?[ \t]*web_content[a-z0-9_]*[^>]*>", "")
+    text = F.regexp_replace(text, r"(?i)\[([^\]]*)\]\([ \t]*(javascript|vbscript|data|blob)[ \t]*:[^)]*\)", "[$1](blocked:$2)")
+    text = F.regexp_replace(text, r"(?i)<[ \t]*(javascript|vbscript|data|blob)[ \t]*:[^>]*>", "[blocked link]")
+    return F.substring(text, 1, most)
+
+
+def boundary(text: Column, url: Column, nonce: Column, at: Column) -> Column:
+    """The text between tags that its author can't know: nonce and time are given, so that reruns agree."""
+    inner = F.regexp_replace(text, r"(?i)<[ \t]*/?[ \t]*web_content[a-z0-9_]*[^>]*>", "")
+    source = F.replace(F.replace(F.replace(url, F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = F.concat(F.lit("web_content_"), nonce)
+    return F.concat(F.lit("<"), tag, F.lit(' source="'), source, F.lit('" timestamp="'), at, F.lit('">\n'), inner, F.lit("\n</"), tag, F.lit(">"))
+
+
+def _ratio(text: Column) -> Column:
+    """Characters a token, by the share of dense scripts in the first 2,000."""
+    sample = F.substring(text, 1, 2000)
+    return 4.0 - 2.0 * F.coalesce(count_of(sample, DENSE) / F.nullif(F.length(sample), F.lit(0)), F.lit(0.0))
+
+
+def truncate(text: Column, most: int) -> Column:
+    """About the first ``most`` tokens."""
+    return F.when(tokens(text) <= most, text).otherwise(F.substring(text, F.lit(1), F.floor(most * _ratio(text)).cast("int")))
+
+
+def head_tail(text: Column, most: int) -> Column:
+    """About ``most`` tokens: four fifths from the head, the rest from the tail, with a mark between."""
+    head = int(most * 0.8)
+    part = lambda n: F.floor(n * _ratio(text)).cast("int")
+    cut = F.concat(F.substring(text, F.lit(1), part(head)), F.lit("\n<!-- ... truncated ... -->\n"), F.right(text, part(most - head)))
+    return F.when(tokens(text) <= most, text).otherwise(cut)
+
+
+def chars_per_token(lines: Column, least: int = 5, cut: int = 300) -> Column:
+    """Measured on the first twenty lines of some length; 4 where there are none, 1.5 at least."""
+    sample = F.array_join(F.slice(F.transform(F.filter(lines, lambda x: F.length(x) >= least), lambda x: F.substring(x, 1, cut)), 1, 20), "\n")
+    return F.coalesce(F.greatest(F.length(sample) / F.nullif(tokens(sample), F.lit(0)), F.lit(1.5)), F.lit(4.0))
+
+
+def content_hash(text: Column) -> Column:
+    """32-bit hash of the first 2,000 characters: h * 31 + c (characters of the basic plane)."""
+    chars = F.split(F.substring(text, 1, 2000), "")
+    return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % F.lit(1 << 32))

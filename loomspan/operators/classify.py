@@ -248,18 +248,21 @@ def jsonld_type(html: Column) -> Column:
 
 def fired(url: Column, html: Column) -> list[Column]:
     """One boolean for each rule."""
-    given = inputs(url, html)
+    return fired_by(inputs(url, html))
+
+
+def fired_by(given: dict[str, Column]) -> list[Column]:
     return [reduce(lambda a, b: a & b, [c.column(given) for c in r.conds]) for r in RULES]
 
 
-def _fence(rows: DataFrame, **columns: Column) -> DataFrame:
+def fence(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that later projections read instead of evaluating again: a generator of one row stands between."""
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_fence")
     return rows.select(*[c for c in rows.columns if c not in columns], made).select("*", *[F.col(f"_fence.{n}").alias(n) for n in columns]).drop("_fence")
 
 
-def classify(pages: DataFrame) -> DataFrame:
-    """page_id, page_type, score, runner_up, confidence.
+def classify(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, page_type, score, runner_up, confidence, and the columns to ``keep``, so that no join brings them back.
 
     The points of the signals that fired, summed by type, DOM points capped; a strong URL leaves only signs of a block from
     the other layers; ties by number of signals, then by priority. Row-wise in a few fenced projections, so no condition is
@@ -268,11 +271,14 @@ def classify(pages: DataFrame) -> DataFrame:
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.layer).alias("layer"), F.lit(t).alias("type"), F.lit(n).alias("n"), F.lit("blocked" in r.points).alias("blocked"), F.lit(t == r.primary).alias("main")) for i, r in enumerate(RULES) for t, n in r.points.items()])
     types = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(-k).alias("rank"), F.lit(fixed.THRESHOLD[t]).alias("threshold"), F.lit(fixed.JSONLD_WEIGHT.get(t, 0)).alias("ld")) for k, t in enumerate(fixed.TYPE_PRIORITY)])
     total = lambda some: F.aggregate(some, F.lit(0), lambda s, p: s + p["n"])
-    rows = _fence(pages.select("page_id", "url", "html"), f=F.array(*fired(F.col("url"), F.col("html"))), ld=jsonld_type(F.col("html"))).drop("url", "html")
-    rows = _fence(rows, p=F.filter(table, lambda p: F.get(F.col("f"), p["rule"]))).drop("f")
+    # what the conditions look at is made once: lower-cased texts, the title, the types of structured data
+    given = inputs(F.col("url"), F.col("html"))
+    rows = fence(pages.select("page_id", "url", "html", *[F.col(k).alias(f"_k_{k}") for k in keep]), **{f"g_{k}": c for k, c in given.items()}, ld=jsonld_type(F.col("html"))).drop("url", "html")
+    rows = fence(rows, f=F.array(*fired_by({k: F.col(f"g_{k}") for k in given}))).drop(*[f"g_{k}" for k in given])
+    rows = fence(rows, p=F.filter(table, lambda p: F.get(F.col("f"), p["rule"]))).drop("f")
     by_url = lambda t: total(F.filter("p", lambda p: (p["layer"] == "url") & (p["type"] == t["type"])))
-    rows = _fence(rows, strong=F.exists(types, lambda t: by_url(t) > 2 * t["threshold"]))
-    rows = _fence(rows, p=F.filter("p", lambda p: (p["layer"] == "url") | ~F.col("strong") | p["blocked"]))
+    rows = fence(rows, strong=F.exists(types, lambda t: by_url(t) > 2 * t["threshold"]))
+    rows = fence(rows, p=F.filter("p", lambda p: (p["layer"] == "url") | ~F.col("strong") | p["blocked"]))
 
     def score(t: Column) -> Column:
         own = F.filter("p", lambda p: p["type"] == t["type"])
@@ -280,13 +286,14 @@ def classify(pages: DataFrame) -> DataFrame:
         named = F.when(~F.col("strong") & F.col("ld").eqNullSafe(t["type"]), t["ld"]).otherwise(F.lit(0))
         return F.struct((total(own) - over + named).alias("score"), F.size(F.filter(own, lambda p: p["main"])).alias("seen"), t["rank"].alias("rank"), t["type"].alias("type"), t["threshold"].alias("threshold"))
 
-    rows = _fence(rows, s=F.transform(types, score))
-    rows = _fence(rows, r=F.reverse(F.array_sort(F.filter("s", lambda r: (r["score"] != 0) | (r["seen"] > 0)))))
-    rows = rows.select("page_id", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
+    rows = fence(rows, s=F.transform(types, score))
+    rows = fence(rows, r=F.reverse(F.array_sort(F.filter("s", lambda r: (r["score"] != 0) | (r["seen"] > 0)))))
+    rows = rows.select("page_id", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"), *[f"_k_{k}" for k in keep])
     return rows.select(
         "page_id",
         F.when(F.col("a.score") >= F.col("a.threshold"), F.col("a.type")).otherwise("unknown").alias("page_type"),
         F.coalesce("a.score", F.lit(0)).alias("score"),
         F.col("b.type").alias("runner_up"),
         F.coalesce(F.least(F.lit(1.0), F.col("a.score") / (F.col("a.threshold") * 2)), F.lit(0.0)).alias("confidence"),
+        *[F.col(f"_k_{k}").alias(k) for k in keep],
     )

@@ -76,13 +76,41 @@ def text_of(parts: DataFrame) -> DataFrame:
     return parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p")).select("page_id", F.concat_ws("\n", F.col("p.part")).alias("text"))
 
 
-def by_type(lines: DataFrame, types: DataFrame, budget_chars: int) -> DataFrame:
-    """page_id, text: each page in the style of its type; pages whose style takes nothing, and other types, in the default style."""
-    default = compress(lines, STYLES["default"], budget_chars).withColumn("own", F.lit(0))
-    parts = default
-    for name, style in STYLES.items():
-        if name != "default":
-            mine = lines.join(types.filter(F.col("page_type") == name).select("page_id"), "page_id", "left_semi")
-            parts = parts.unionByName(compress(mine, style, budget_chars).withColumn("own", F.lit(1)))
-    best = Window.partitionBy("page_id")
-    return text_of(parts.withColumn("_m", F.max("own").over(best)).filter("own = _m"))
+def by_type(lines: DataFrame, budget_chars: int) -> DataFrame:
+    """page_id, text: each page in the style of its type; pages whose style takes nothing, and other types, in the default style.
+
+    ``lines``: page_id, page_type, pos, line. One pass: a line is a part of its page's own style, of the default one, or both; the style
+    is chosen by the page's type in each row. Then running sums by page, and one grouping.
+    """
+    line, lower, kind = F.col("line"), F.col("_lower"), F.col("page_type")
+    own = {n: s for n, s in STYLES.items() if n != "default"}
+
+    def choose(value, other):
+        out = None
+        for name, style in own.items():
+            out = F.when(kind == name, value(style)) if out is None else out.when(kind == name, value(style))
+        return out.otherwise(other)
+
+    rows = lines.withColumn("_lower", F.lower("line"))
+    short = F.length(line) < choose(lambda s: F.lit(s.below), F.lit(0))
+    rows = rows.withColumn("_short", short)
+    taken = choose(lambda s: (F.length(line) >= s.least) & (F.col("_short") | _has(line if s.exact else lower, s.terms)), F.lit(False))
+    head = choose(lambda s: _has(lower, s.first), F.lit(False))
+    cut = F.substring(line, F.lit(1), choose(lambda s: F.lit(s.cut), F.lit(200)))
+    body = F.concat(F.when(F.col("_short"), F.lit("")).otherwise(choose(lambda s: F.lit(s.indent), F.lit(""))), cut)
+    tagged = F.concat(choose(lambda s: F.lit(s.tag), F.lit("")), F.substring(line, 1, 200))
+    plain = STYLES["default"]
+    part = lambda cond, rank, text: F.when(cond, F.struct(F.lit(rank).alias("rank"), text.alias("part")))
+    # rank 0: default style, 1: own style, 2: own style, outside the budget
+    made = F.array_compact(F.array(part(F.length(line) >= plain.least, 0, F.substring(line, 1, plain.cut)), part(taken, 1, body), part(head, 2, tagged)))
+    rows = rows.select("page_id", "page_type", "pos", F.explode(made).alias("m")).select("page_id", "page_type", "pos", "m.rank", "m.part")
+    of = Window.partitionBy("page_id", "rank").orderBy("pos")
+    numbered = F.concat(F.lit("Q"), F.row_number().over(of).cast("string"), F.lit(". "), "part")
+    rows = rows.withColumn("part", F.when((F.col("rank") == 1) & kind.isin([n for n, s in own.items() if s.numbered]), numbered).otherwise(F.col("part")))
+    rows = rows.withColumn("_run", F.sum(F.length("part") + 1).over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    spent = F.coalesce(F.sum(F.when(F.col("rank") == 2, F.length("part") + 1)).over(Window.partitionBy("page_id")), F.lit(0))
+    rows = rows.withColumn("_left", F.when(F.col("rank") == 1, budget_chars - spent).otherwise(F.lit(budget_chars)))
+    rows = rows.filter((F.col("rank") == 2) | (F.col("_run") <= F.col("_left")))
+    best = F.max(F.col("rank") > 0).over(Window.partitionBy("page_id"))
+    rows = rows.withColumn("_own", best).filter(F.col("_own") == (F.col("rank") > 0))
+    return text_of(rows.withColumn("pos", F.when(F.col("rank") == 2, F.col("pos") - 1_000_000_000).otherwise(F.col("pos"))))

@@ -1,16 +1,17 @@
 """The page digest: classification, locale, budget and pruned text of each page in one plan.
 
-Everything is row-wise up to the lines; the budget is one window per page. At scale the plan has one shuffle, of short lines.
+One scan: title, locale, budget, type and lines of a page are made in the row that holds it, and only then are the lines spread out.
+The budget is one window a page; the plan's shuffles carry short lines and what is said once a page, never the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan import fixed
 from loomspan.functions import text, urls
-from loomspan.operators import classify, extract, windows
+from loomspan.operators import classify, windows
 
 LINE_MIN, LINE_MAX, CHARS_PER_TOKEN, FILL = 5, 300, 4.0, 0.95
 
@@ -28,11 +29,27 @@ def compress(lines: DataFrame, budget_tokens: int, least: int = LINE_MIN, most:
     return kept.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")).select("page_id", F.concat_ws("\n", F.col("l.line")).alias("text"))
 
 
-def digest(pages: DataFrame, budget_tokens: int = fixed.PRUNED_TOKENS) -> DataFrame:
-    """page_id, title, locale, page_type, pruned_budget, text, text_tokens of every page; a page without lines has an empty text."""
-    kind = classify.classify(pages).select("page_id", "page_type")
-    texts = compress(extract.text_lines(pages), budget_tokens)
-    out = basics(pages).join(kind, "page_id").join(texts, "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+def typed_lines(pages: DataFrame, **columns: Column) -> DataFrame:
+    """page_id, page_type, given columns (made from url and html), pos, line: all from one scan; a page without lines has one row without."""
+    made = classify.fence(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), **columns, lines=text.lines(F.coalesce(F.col("html"), F.lit(""))))
+    rows = classify.classify(made, (*columns, "lines"))
+    return rows.select("page_id", "page_type", *columns, F.posexplode_outer("lines").alias("pos", "line"))
+
+
+def digest(pages: DataFrame) -> DataFrame:
+    """page_id, title, locale, page_type, pruned_budget, text, text_tokens of every page; a page without lines has an empty text.
+
+    The text is held to the page's own budget, which follows its language.
+    """
+    url, html = F.col("url"), F.col("html")
+    locale = urls.locale(url)
+    rows = typed_lines(pages, title=text.title(html), locale=locale, pruned_budget=F.bround(fixed.PRUNED_TOKENS * text.multiplier(locale, html)).cast("long"))
+    rows = rows.withColumn("line", F.substring("line", 1, LINE_MAX)).withColumn("_n", F.when(F.length("line") >= LINE_MIN, F.length("line") + 1).otherwise(0))
+    run = F.sum("_n").over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    fits = (F.col("_n") > 0) & (run <= F.floor(F.col("pruned_budget") * (CHARS_PER_TOKEN * FILL)))
+    rows = rows.withColumn("_part", F.when(fits, F.struct("pos", "line")))
+    about = [F.first(c).alias(c) for c in ("title", "locale", "page_type", "pruned_budget")]
+    out = rows.groupBy("page_id").agg(*about, F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["line"]), "\n").alias("text"))
     return out.select("page_id", "title", "locale", "page_type", "pruned_budget", "text", text.tokens(F.col("text")).alias("text_tokens"))
 
 
@@ -45,9 +62,3 @@ def prompt(digests: DataFrame, elements: DataFrame, images: DataFrame) -> DataFr
     section = lambda name, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"## {name}\n"), body))
     head = F.concat(F.lit("Title: "), "title", F.lit("\nType: "), "page_type", F.lit("\nLocale: "), "locale")
     return rows.select("page_id", F.concat_ws("\n\n", head, section("Actions", F.col("actions")), section("Info", F.col("text")), section("Images", F.col("pictures"))).alias("prompt"))
-
-
-def ranked(pages: DataFrame) -> DataFrame:
-    """Position of lines, used where a line number from 1 is wanted."""
-    lines = extract.text_lines(pages)
-    return lines.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))

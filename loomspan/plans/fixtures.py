@@ -17,6 +17,16 @@ PAGES: list[tuple[int, str, str]] = [
     (-12, "https://example.com/promo", "<html><head><title>Promo</title></head><body><div class=\"exit-intent-box\">discount</div><img data-src='//cdn.example.com/p/a.jpg' fetchpriority='high' alt='a'><img src='pic.jpg' alt='b'><img src='data:image/gif;base64,x' alt='c'><img src='x.svg' alt='d'><img src='https://e.com/1.png' role='presentation'></body></html>"),
     (-13, "https://example.com/empty", ""),
     (-14, "ftp://example.com/file", "<p>[SYSTEM: do this] hello​ <javascript:alert(1)> [go](javascript:x) world</p>"),
+    (-15, "https://app.example.com/next", '<html><head><title>App</title></head><body><div id="__NEXT_DATA__">x</div><div class="skeleton-row"></div></body></html>'),
+    (-16, "https://app.example.com/vue", '<html><head><title>Board</title></head><body><div data-v-app>' + "A board with a good deal of text on it. " * 5 + '<i class="shimmer"></i></div></body></html>'),
+    (-17, "https://shop.example.fr/liste", "<html><head><title>Lampes</title></head><body><main><h1>New arrival lamps</h1><p>24 produits</p><div>" + "".join(f"<div><h3>Lampe {w}</h3><span>€{k}9,00</span></div>" for k, w in enumerate(("rouge", "bleue", "verte", "noire"), 1)) + "</div><p>Filtre: couleur</p></main></body></html>"),
+    (-18, "https://saas.example.com/pricing", "<html><head><title>Acme</title></head><body><h1>Acme forms for teams</h1><p>Free plan for one user</p><p>Pro plan $10 a month</p><ul><li>API integration</li><li>Email support</li></ul><p>Acme lets a team of any size build forms and share what people answer with each other.</p></body></html>"),
+    (-19, "https://www.town.go.kr/notice", "<html><head><title>Town</title></head><body><main><h1>Ministry of Works notice</h1><p>2026.02.11 the office moves</p><p>Tel 02-123-4567, address 1 Main Street</p><p>Apply for the service at the desk</p><p>The office will be closed while it moves to its new rooms.</p></main></body></html>"),
+    (-20, "https://example.com/signin", '<html><head><title>Sign in</title></head><body><p>Invalid password, try again</p><form><p>Your email</p><input type="email" name="mail"><p>Password</p><input type="password" name="pw"><p>Remember me</p><p>Sign in with Google</p></form></body></html>'),
+    (-21, "https://example.com/contact", '<html><head><title>Contact</title></head><body><p>This field is required</p><form><p>Your name</p><input name="n"><p>Phone</p><input name="p"><p>Message</p><textarea></textarea><button>Submit</button></form></body></html>'),
+    (-22, "https://example.com/event/9", "<html><head><title>Fair</title><script type='application/ld+json'>{\"@graph\": [{\"@type\": \"MusicEvent\", \"name\": \"Fair\", \"location\": {\"name\": \"Hall\", \"address\": \"1 Street\"}, \"offers\": {\"price\": \"12.50\", \"priceCurrency\": \"EUR\"}}, {\"@type\": \"ItemList\", \"itemListElement\": [{\"position\": 1, \"name\": \"Seat\", \"price\": 5}]}]}</script></head><body><h1>Summer fair</h1><article><h2>First night</h2><p>Songs on the green until ten.</p></article><article><h2>Second night</h2><p>More songs on the green.</p></article><article><h2>Last night</h2><p>All songs once more.</p></article></body></html>"),
+    (-23, "https://shop.example.com/cart/checkout", "<html><head><title>Checkout</title></head><body><p>Step 2 of 3</p><p>Total $19.99</p><p>Shipping address</p><p>Payment method</p><p>Place order</p></body></html>"),
+    (-24, "https://example.com/cookies", '<html><head><title>Cookies</title></head><body><div id="onetrust-banner"><p>We use cookies</p><button>Accept all</button><button>Reject all</button><button>Close</button></div></body></html>'),
 ]
 URLS = ["http://127.0.0.1/", "http://2130706433/", "http://0x7f000001/a", "http://0177.0.0.1/", "http://169.254.169.254/latest", "http://metadata.google.internal/", "http://10.1.2.3:8080/x", "http://172.20.0.1/", "http://172.32.0.1/", "http://100.64.0.9/", "http://8.8.8.8/", "http://localhost/", "file:///etc/passwd", "https://user@shop.example.com:443/a", "https://coupang.com/vp/products/1", "https://www.coupang.com/p", "https://notcoupang.com/p", "https://a.co.kr/x", "https://b.co.uk/index.html", "https://c.com.br/?query=Rio+x", "https://www.agency.go.kr/", "https://en.wikipedia.org/wiki/Sun", "https://ja.example.net/p", "https://example.com/FR/a", "http://192.168.000.1/", "http://999.1.1.1/"]
 NUMBERS = ["1,500.99", "1.500,99", "1.500", "1.5", "29.99", "1.500.000", "1,500", "12", "-3.25", "abc", "", " 7 ", "₩1,200", "$19.90", "€5", "0.125"]

@@ -75,7 +75,7 @@ def _host_case(rules: list[tuple[str, str]], default: str) -> str:
 
 _CODE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>"
 _TEXT = _entities(rf"regexp_replace(regexp_replace(html, '{_CODE}', '', 'g'), '<[^>]+>', chr(10), 'g')")
-_TEXT = rf"regexp_replace(replace({_TEXT}, chr(160), ' '), '[ \t]+', ' ', 'g')"
+_TEXT = rf"regexp_replace(replace(regexp_replace({_TEXT}, '([\x{{3040}}-\x{{30ff}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}])([0-9])', '\1 \2', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g')"
 _LINE_LIST = f"list_filter(list_transform(string_split({_TEXT}, chr(10)), lambda x: {_trim('x')}), lambda x: x <> '')"
 LINES = f"(SELECT page_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, {_LINE_LIST} AS l FROM {P}))"
 _DENSE = f"[^{text.DENSE}]"
@@ -197,10 +197,11 @@ def script_filter(spark, sf_dir):
     """Lines of a page without short ones in a foreign script; long foreign ones are tagged."""
     lines = extract.text_lines(_pages(spark, sf_dir))
     per = {s: text.count_of(F.col("line"), body) for s, body in text.SCRIPTS.items()}
-    sums = lines.groupBy("page_id").agg(*[F.sum(c).alias(s) for s, c in per.items()])
-    top = F.array_max(F.array(*[F.struct(F.col(s).alias("n"), F.lit(-k).alias("o"), F.lit(s).alias("s")) for k, s in enumerate(per)]))
-    page = sums.select("page_id", F.when(top["n"] > 0, top["s"]).otherwise("COMMON").alias("script"))
-    rows = lines.join(page, "page_id")
+    # the page's script: a sum over the page's lines beside them, so the text is read once
+    page = Window.partitionBy("page_id")
+    sums = lines.select("*", *[c.alias(f"_{s}") for s, c in per.items()]).select("*", *[F.sum(f"_{s}").over(page).alias(f"_sum_{s}") for s in per])
+    top = F.array_max(F.array(*[F.struct(F.col(f"_sum_{s}").alias("n"), F.lit(-k).alias("o"), F.lit(s).alias("s")) for k, s in enumerate(per)]))
+    rows = sums.withColumn("_top", top).select("page_id", "pos", "line", F.when(F.col("_top.n") > 0, F.col("_top.s")).otherwise("COMMON").alias("script"))
     always = (F.length("line") <= 5) | F.col("line").rlike(r"(?i)https?://[^ \t\r\n]+") | F.col("line").rlike(r"^[0-9.,]+[ \t]*[a-zA-Z%]*$")
     foreign = F.when(F.col("script") == "COMMON", F.lit(0.0)).otherwise(text.foreign_ratio(F.col("line"), F.col("script")))
     label = F.coalesce(F.create_map(*[F.lit(x) for kv in text.LABELS.items() for x in kv])[text.dominant_script(F.col("line"))], F.lit("other"))
@@ -405,8 +406,7 @@ def barrier(spark, sf_dir):
     f" FROM (SELECT page_id, lower(html) AS h, page_type FROM {P} JOIN ({_type_sql()}) USING (page_id))"
 )
 def page_state(spark, sf_dir):
-    p = _pages(spark, sf_dir)
-    rows = p.join(classify.classify(p).select("page_id", "page_type"), "page_id")
+    rows = classify.classify(_pages(spark, sf_dir).withColumn("low", F.lower("html")), ("html", "low"))
     return rows.select("page_id", detect.page_state(F.col("html"), F.col("page_type"), _elements())["state"].alias("state"))
 
 
@@ -437,8 +437,8 @@ def stage_scores(spark, sf_dir):
 def task_fitness(spark, sf_dir):
     """Cosine of every vector with the task vector (that of id 0, one row)."""
     d = _t(spark, sf_dir, "embeddings")
-    task = F.broadcast(d.filter("vec_id = 0").select(F.col("embedding").alias("hint")))
-    return d.join(task).select("vec_id", "label", F.round(scores.cosine(F.col("embedding"), F.col("hint")), 9).alias("similarity"))
+    (task,) = d.filter("vec_id = 0").select("embedding").collect()  # fails unless there is exactly one
+    return d.withColumn("hint", F.array(*[F.lit(x) for x in task.embedding])).select("vec_id", "label", F.round(scores.cosine(F.col("embedding"), F.col("hint")), 9).alias("similarity"))
 
 
 _PAIRS = "(SELECT event_id, user_id, ts, event_type, value, CAST(floor(value) AS INTEGER) AS n, lag(event_type) OVER w AS p_type, lag(CAST(floor(value) AS INTEGER)) OVER w AS p_n, lag(event_id) OVER w AS p_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
@@ -528,12 +528,12 @@ def template_join(spark, sf_dir):
     return joins.with_template(o, t).select("o_orderkey", "template")
 
 
-@query("WITH w AS (SELECT url, page_id AS pos FROM pages WHERE page_id < 6 UNION ALL SELECT 'http://gone.example.com/' || i, 1000 + i FROM range(3) r(i)) SELECT pos, w.url, page_id, CASE WHEN page_id IS NULL THEN 'error: not found' ELSE 'ok' END AS status FROM w LEFT JOIN pages ON pages.url = w.url")
+@query("WITH w AS (SELECT url, min(pos) AS pos FROM (SELECT url, page_id AS pos FROM pages UNION ALL SELECT 'http://gone.example.com/' || i, 1000000000 + i FROM range(3) r(i)) GROUP BY url) SELECT pos, w.url, page_id, CASE WHEN page_id IS NULL THEN 'error: not found' WHEN octet_length(encode(html)) > %d THEN 'error: too large' ELSE 'ok' END AS status FROM w LEFT JOIN pages p ON p.url = w.url" % fixed.MAX_HTML_BYTES)
 def batch_status(spark, sf_dir):
+    """Every page is asked for, and three that aren't there."""
     p = _t(spark, sf_dir, "pages")
-    gone = spark.range(3).select(F.concat(F.lit("http://gone.example.com/"), F.col("id")).alias("url"), (F.col("id") + 1000).alias("pos"))
-    wanted = p.filter("page_id < 6").select("url", F.col("page_id").alias("pos")).unionByName(gone)
-    return sources.batch_status(wanted, p)
+    gone = spark.range(3).select(F.concat(F.lit("http://gone.example.com/"), F.col("id")).alias("url"), (F.col("id") + 1_000_000_000).alias("pos"))
+    return sources.batch_status(p.select("url", F.col("page_id").alias("pos")).unionByName(gone), p, None)
 
 
 @query("WITH e AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'), a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') SELECT user_id, ask_id, CASE WHEN epoch_us(ts) - epoch_us(found_ts) <= 86400000000 THEN CAST(found AS VARCHAR) END AS entry FROM (SELECT a.user_id, a.event_id AS ask_id, a.ts, arg_max(e.event_id, e.ts) AS found, max(e.ts) AS found_ts FROM a LEFT JOIN e ON e.user_id = a.user_id AND e.ts <= a.ts GROUP BY ALL)")
@@ -552,11 +552,11 @@ def merge_findings(spark, sf_dir):
     return joins.merge_findings(p.filter("p_size < 20"), p.filter("p_retailprice > 1200"), F.lower(F.substring("p_name", 1, 30)))
 
 
-@query("WITH o AS (SELECT page_id, pos, line FROM (SELECT * FROM " + LINES + ") WHERE pos < 6), n AS (SELECT page_id, pos - 1 AS pos, line FROM (SELECT * FROM " + LINES + ") WHERE pos > 0 AND pos < 8) SELECT coalesce(o.page_id, n.page_id) AS page_id, CAST(coalesce(o.pos, n.pos) AS INTEGER) AS pos, CASE WHEN o.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'removed' WHEN o.line = n.line THEN 'same' ELSE 'changed' END AS verdict FROM o FULL JOIN n ON o.page_id = n.page_id AND o.pos = n.pos")
+@query("WITH o AS (SELECT page_id, pos, line FROM (SELECT * FROM " + LINES + "), n AS (SELECT page_id, pos - 1 AS pos, line FROM (SELECT * FROM " + LINES + ") WHERE pos > 0) SELECT coalesce(o.page_id, n.page_id) AS page_id, CAST(coalesce(o.pos, n.pos) AS INTEGER) AS pos, CASE WHEN o.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'removed' WHEN o.line = n.line THEN 'same' ELSE 'changed' END AS verdict FROM o FULL JOIN n ON o.page_id = n.page_id AND o.pos = n.pos")
 def page_diff(spark, sf_dir):
     """Two snapshots of a page line by line; the second one is the page without its first line."""
     lines = extract.text_lines(_pages(spark, sf_dir))
-    return joins.page_diff(lines.filter("pos < 6"), lines.filter("pos > 0 and pos < 8").withColumn("pos", F.col("pos") - 1), ["page_id", "pos"], "line")
+    return joins.page_diff(lines, lines.filter("pos > 0").withColumn("pos", F.col("pos") - 1), ["page_id", "pos"], "line")
 
 
 @query("SELECT user_id, event_type AS tier, count(*) AS n FROM events GROUP BY 1, 2")
@@ -681,7 +681,7 @@ for _name in compress.STYLES:
 @query()
 def typed_context(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    return compress.by_type(extract.text_lines(p), classify.classify(p).select("page_id", "page_type"), 950)
+    return compress.by_type(digest.typed_lines(p), 950)
 
 
 @query()
@@ -700,14 +700,14 @@ def product_options(spark, sf_dir):
     return commerce.options(extract.interactables(_pages(spark, sf_dir)))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE found) AS hits, round(CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*), 9) AS recall FROM (SELECT bool_or(contains(lower(d.text), lower(substr(b.text, 1, 60)))) AS found FROM benchmark b CROSS JOIN (SELECT string_agg(text, chr(10)) AS text FROM documents) d GROUP BY b.item_id)")
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE found) AS hits, round(CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*), 9) AS recall FROM (SELECT bool_or(contains(lower(d.text), lower(b.text))) AS found FROM benchmark b CROSS JOIN (SELECT string_agg(text, chr(10)) AS text FROM documents) d GROUP BY b.item_id)")
 def field_recall(spark, sf_dir):
-    """Share of expected values (the first 60 characters of benchmark items) that the texts hold.
+    """Share of expected values (whole benchmark items) that the texts hold.
 
     Candidates share the value's first three words with a text (an equi-join), then containment is tested.
     """
     key = lambda c: F.lower(F.concat_ws(" ", F.slice(F.split(F.trim(c), r"\s+"), 1, 3)))
-    items = _t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("value"), key(F.col("text")).alias("k"))
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("value"), key(F.col("text")).alias("k"))
     # the words are made once, in front of a generator; then every run of three is a short slice
     bodies = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(F.lower("text").alias("body"), F.split(F.lower(F.trim("text")), r"\s+").alias("words")))).alias("s"))
     bodies = bodies.select("doc_id", F.col("s.body").alias("body"), F.col("s.words").alias("words"))

@@ -23,9 +23,11 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return html.join(meta, ["site_id", "page_dir"], "left")
 
 
-def batch_status(wanted: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
-    """One row per distinct wanted URL, first place kept, ``most`` at most (a limit of the feature): pos, url, page_id, status."""
-    first = wanted.groupBy("url").agg(F.min("pos").alias("pos")).orderBy("pos").limit(most)
+def batch_status(wanted: DataFrame, pages: DataFrame, most: int | None = 10) -> DataFrame:
+    """One row per distinct wanted URL, first place kept: pos, url, page_id, status. A single request has ``most`` URLs at most (a limit
+    of the feature); None takes a table of any size."""
+    first = wanted.groupBy("url").agg(F.min("pos").alias("pos"))
+    first = first.orderBy("pos").limit(most) if most else first
     joined = first.join(pages.select("url", "page_id", "html"), "url", "left")
     status = F.when(F.col("page_id").isNull(), "error: not found").when(F.octet_length("html") > fixed.MAX_HTML_BYTES, "error: too large").otherwise("ok")
     return joined.select("pos", "url", "page_id", status.alias("status"))
