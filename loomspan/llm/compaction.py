@@ -2,8 +2,15 @@
 
 Arrivals are appended as small immutable Parquet shards. Shards of similar size (one tier) are merged into files of the
 target size as soon as there are ``fanout`` of them. Readers see only what a manifest lists. A new manifest version
-is written aside and renamed into place, which fails if another writer took the version: a crash at any point leaves
-the previous version whole, and files that no manifest lists are removed by vacuum().
+is written aside, claimed by the exclusive creation of an empty file, and renamed into place: of two writers of one version
+one gets the claim, the other a conflict. A crash at any point leaves the previous version whole; a claim that was never
+made good is taken over after CLAIM_SECONDS. Files that no manifest lists are removed by vacuum().
+
+This holds for stores with an exclusive create and an atomic rename of a file: HDFS, POSIX file systems, and object stores
+whose connector offers both. Elsewhere one writer at a time must be seen to.
+
+Nulls, empty and very long texts, repeated rows and any extra columns are stored and read back as they are; an empty table
+adds no rows, but its version.
 
 Scale notes: a merge reads and writes each byte once and shuffles nothing: neighbouring read partitions are joined
 by coalesce(). The manifest has a line for each shard, not for each row. Every row is rewritten at most once for each tier.
@@ -13,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from typing import NamedTuple
 
@@ -22,6 +30,8 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 SHARD_ROWS = 2_000
+#: After so long a version that was claimed and not committed is another writer's to take.
+CLAIM_SECONDS = 600
 
 
 class CommitConflict(RuntimeError):
@@ -68,8 +78,12 @@ class ShardStore:
         return got
 
     def commit(self, base: int, shards: list[Shard], schema: str) -> int:
-        """Publish version base + 1. The rename is the commit; it never replaces a version."""
+        """Publish version base + 1. The claim keeps other writers away, the rename is the commit; it never replaces a version."""
         version = base + 1
+        final = self._path(self._file(version))
+        claim = self._path(f"{self.root}/_manifest/{version:020d}.claim")
+        if self._fs.exists(final) or not self._claimed(claim):
+            raise CommitConflict(f"version {version} is taken")
         aside = self._path(f"{self.root}/_manifest/.{version:020d}-{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
         try:
@@ -77,12 +91,26 @@ class ShardStore:
             out.hsync()
         finally:
             out.close()
-        final = self._path(self._file(version))
         if self._fs.exists(final) or not self._fs.rename(aside, final):
             self._fs.delete(aside, False)
             raise CommitConflict(f"version {version} is taken")
         return version
 
+    def _claimed(self, claim) -> bool:
+        """Whether this writer made the claim; an old one is removed first, so that one writer makes it anew."""
+        from py4j.protocol import Py4JJavaError
+
+        if self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+            self._fs.delete(claim, False)
+        self._fs.mkdirs(claim.getParent())
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as taken:
+            if "AlreadyExists" not in str(taken.java_exception):
+                raise
+            return False
+        return True
+
     # data
 
     def _write(self, df: DataFrame, rows_per_shard: int | None) -> list[Shard]:
@@ -140,15 +168,20 @@ class ShardStore:
             raise ValueError("nothing was committed yet")
         return self._read(m["shards"], m["schema"])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove data files that none of the last ``keep`` versions lists; how many went."""
+    def vacuum(self, keep: int = 1, older_than_s: float = 86_400) -> int:
+        """Remove data files that none of the last ``keep`` versions lists; how many went. Files younger than ``older_than_s`` may
+        belong to a writer that hasn't committed yet and stay; 0 only where there is no other writer."""
+        before = (time.time() - older_than_s) * 1000 if older_than_s else math.inf
         newest = self.version()
         listed = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.manifest(v)["shards"]}
         names = {"/".join(p.split("/")[-2:]) for p in listed}
         gone = 0
         data = self._path(f"{self.root}/data")
         for run in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            files = [f.getPath() for f in self._fs.listStatus(run.getPath())]
+            inside = self._fs.listStatus(run.getPath())
+            if any(f.getModificationTime() > before for f in inside) or run.getModificationTime() > before:
+                continue
+            files = [f.getPath() for f in inside]
             used = [f for f in files if f"{run.getPath().getName()}/{f.getName()}" in names]
             for f in files if not used else [f for f in files if f.getName().endswith(".parquet") and f not in used]:
                 gone += f.getName().endswith(".parquet")
