@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule (native DataFrame code only).
 
-Slot i of the mix takes the point frac(i * golden ratio), read from a fixed 31-bit lattice; the source whose
-interval of cumulative target shares holds that point owns the slot. The k-th slot of a source takes the k-th
-block of that source's stream: its documents in shuffled (hash) order, passed over up to three times and cut
+Slot i of the mix takes the point frac(i * golden ratio), read from a fixed 48-bit lattice (good for 2^48 slots, that is
+2.8e17 words); the source whose interval of cumulative target shares holds that point owns the slot. The k-th slot of a source
+takes the k-th block of that source's stream: its documents in shuffled (hash) order, passed over up to three times and cut
 into blocks of equally many words. Slots beyond a source's quota are left out, and quota slots that the schedule
 missed (a few, bounded by the discrepancy) are appended, so each source's words come to its target exactly.
 
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import SPACE, checkpoint, text_of
 
-#: 2^31 and the odd integer nearest to 2^31 divided by the golden ratio.
-LATTICE = 1 << 31
-STEP = 1327217885
+#: 2^48 and the odd integer nearest to 2^48 divided by the golden ratio.
+LATTICE = 1 << 48
+STEP = 173961102589771
 BLOCK_WORDS = 1024
 LEAST_ROWS_PER_BUCKET = 1_000
 MAX_EPOCHS = 3
+#: Words of an output partition of mixed_rows, about.
+PARTITION_WORDS = 8 << 20
 
 
 def n_words(text: str) -> Column:
@@ -86,21 +88,20 @@ def source_slots(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     goals = goals.withColumn("hi", F.sum("blocks").over(order)).withColumn("lo", F.col("hi") - F.col("blocks"))
     goals = checkpoint(goals)
     total = goals.agg(F.max("hi")).first()[0] or 0
-    # A slot lands in cell floor(point * cells); a source's interval covers a run of cells: an equi-join on the
-    # cell and an exact test of the interval, instead of a comparison of every slot with every source.
+    # A slot lands in cell at * cells / total; a source's interval covers a run of cells: an equi-join on the
+    # cell and an exact test of the interval, instead of a comparison of every slot with every source. All in whole numbers.
     cells = int(min(max(total, 1), 1 << 16))
-    point = (F.pmod(F.col("slot"), F.lit(LATTICE)) * F.lit(STEP)) % F.lit(LATTICE)
-    place = lambda at: F.floor(at.cast("decimal(38,0)") * F.lit(total).cast("decimal(20,0)") / F.lit(LATTICE).cast("decimal(20,0)")).cast("long")
-    slots = spark.range(total).withColumnRenamed("id", "slot").withColumn("at", place(point)).withColumn("cell", F.floor(F.col("at") * F.lit(cells).cast("decimal(20,0)") / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("long"))
-    cell = lambda at: F.floor(at.cast("decimal(38,0)") * F.lit(cells) / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("long")
-    spans = goals.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    part_of = lambda x, times, of: F.expr(f"cast({x} as decimal(16,0)) * cast({times} as decimal(16,0)) div cast({of} as decimal(16,0))")
+    slots = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", F.expr(f"(cast(slot as decimal(16,0)) * cast({STEP} as decimal(16,0))) % cast({LATTICE} as decimal(16,0))"))
+    slots = slots.withColumn("at", part_of("point", total, LATTICE)).withColumn("cell", part_of("at", cells, max(total, 1))).drop("point")
+    spans = goals.withColumn("cell", F.explode(F.sequence(part_of("lo", cells, max(total, 1)), part_of("hi - 1", cells, max(total, 1)))))
     owned = slots.join(spans, "cell").filter("at >= lo and at < hi").select("source", "slot", "blocks", "quota")
     chunk = max(1, -(-total // n_buckets(total)))
     owned = owned.withColumn("part", F.floor(F.col("slot") / chunk))
     ranked = checkpoint(_prefix(owned, "source", "part", ["slot"], F.lit(1), "k"))
     got = ranked.groupBy("source").agg(F.count("*").alias("n"))
     missed = goals.join(got.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < blocks")
-    missed = missed.withColumn("k", F.explode(F.sequence(F.col("n"), F.col("blocks") - 1))).withColumn("slot", F.lit(total) + F.col("k"))
+    missed = missed.withColumn("k", F.explode(F.sequence(F.col("n"), F.col("blocks") - 1))).withColumn("slot", F.lit(total) + F.col("lo") + F.col("k"))
     every = ranked.filter("k < blocks").select("source", "k", "slot", "quota").unionByName(missed.select("source", "k", "slot", "quota"))
     return every.withColumn("words", F.least(F.lit(block_words), F.col("quota") - F.col("k") * block_words))
 
@@ -108,11 +109,13 @@ def source_slots(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), block_words: int = BLOCK_WORDS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: id, source, nth, size, source_size, target, taken - one row per input row. ``taken`` counts the words the
-    mix takes from the row, repeats counted, MAX_EPOCHS times its size at most; a text without words takes 0.
+    documents: id, source, nth, size, source_size, target, taken, passes, n_slots - one row per input row. ``taken`` counts the
+    words the mix takes from the row, repeats counted, MAX_EPOCHS times its size at most; a text without words takes 0.
+    ``passes`` has the first slot of each pass over the source that takes words of the row, ``n_slots`` counts the slots it lies in.
     pieces: the mix itself - source, k, slot, id, nth, start, length: slot ``slot`` holds words [start, start + length)
-    of that row's text. Rows repeated in full are told apart by nth (1, 2, ...). The shuffle order is an MD5 of seed and id, so
-    reruns agree. Empty input gives empty frames.
+    of that row's text. Rows repeated in full are told apart by nth (1, 2, ...). The shuffle order is an MD5 of seed and id (a null
+    id counts as empty), then id, size and nth, so reruns agree. A null source is a source of its own, the last one. Texts may
+    have any length; other columns are ignored. Empty input gives empty frames.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     # repeated rows: counted here, told apart by nth
@@ -133,18 +136,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = slots.select(F.col("source").alias("_s"), F.col("k").alias("_k"), "slot", "words")
     pieces = cut.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("k") == F.col("_k")))
     lo, hi = F.greatest(F.col("from"), F.col("k") * block_words), F.least(F.col("from") + F.col("size"), F.col("k") * block_words + F.col("words"))
-    pieces = pieces.select("source", "k", "slot", "id", "size", "nth", (lo - F.col("from")).alias("start"), (hi - lo).alias("length")).filter("length > 0")
-    taken = pieces.groupBy("id", "source", "size", "nth").agg(F.sum("length").alias("taken"))
-    taken = taken.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("nth").alias("_n"), "taken")
+    pieces = pieces.select("source", "k", "slot", "id", "size", "nth", "pass", (lo - F.col("from")).alias("start"), (hi - lo).alias("length")).filter("length > 0")
+    taken = pieces.groupBy("id", "source", "size", "nth", "pass").agg(F.sum("length").alias("taken"), F.min_by("slot", "start").alias("slot"), F.count("*").alias("n"))
+    taken = taken.groupBy("id", "source", "size", "nth").agg(F.sum("taken").alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "slot"))), lambda x: x["slot"]).alias("passes"), F.sum("n").alias("n_slots"))
+    taken = taken.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("nth").alias("_n"), "taken", "passes", "n_slots")
     out = placed.join(taken, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("nth") == F.col("_n")), "left")
-    return out.select("id", "source", "nth", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), pieces
+    out = out.select("id", "source", "nth", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("passes", F.array().cast("array<bigint>")).alias("passes"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
+    return out, pieces.drop("pass")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """``docs`` with each row repeated taken / size times, rounded half up: whole texts, all columns."""
+    """``docs`` with each row repeated taken / size times, rounded half up: whole texts, all columns, in the schedule's order.
+
+    A copy of a row stands where the schedule has the first of its words in that pass: partitions follow each other by
+    ranges of slots, and rows in a partition by slot. Rows alike in id, source and size share their passes evenly; a row without
+    words is left out. Columns may have any names; an empty table stays empty.
+    """
     verdict, _ = mix(docs, id_col, text_col, source_col, weights)
-    key = lambda i, s, z: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), z.cast("string"), F.coalesce(s, F.lit("\0")))
-    # rows alike in id, source and size share their passes evenly
-    times = verdict.groupBy(key(F.col("id"), F.col("source"), F.col("size")).alias("_key")).agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.first("size")) / F.count("*")).cast("int").alias("_times")).filter("_times > 0")
+    # a null and an empty string are different ids and sources
+    part = lambda c: F.concat(F.when(c.isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(c.cast("string"), F.lit("")))
+    key = lambda i, s, z: F.concat_ws("|", part(i), z.cast("string"), part(s))
+    times = verdict.groupBy(key(F.col("id"), F.col("source"), F.col("size")).alias("_key")).agg(
+        F.round(F.sum("taken") / F.greatest(F.lit(1), F.first("size")) / F.count("*")).cast("int").alias("_times"), F.min(F.struct("nth", "passes")).getField("passes").alias("_passes"), F.sum("taken").alias("_taken")
+    )
+    times = checkpoint(times.filter("_times > 0"))
+    most = times.agg(F.max(F.array_max("_passes")), F.sum("_taken")).first()
+    last, n = int(most[0] or 0), 1 + int(most[1] or 0) // PARTITION_WORDS
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col(id_col), F.col(source_col), n_words(text_col)).alias("_key"))
-    return row.join(times, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    row = row.join(times, "_key").select("row", F.posexplode(F.slice("_passes", F.lit(1), F.greatest("_times", F.lit(1)))).alias("_pass", "_slot"))
+    row = row.repartitionById(n, F.expr(f"cast(cast(_slot as decimal(16,0)) * {n} div {last + 1} as int)")).sortWithinPartitions("_slot", "_pass")
+    return row.select("row.*")
