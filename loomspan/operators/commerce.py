@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan import terms
+from loomspan.functions import urls
+from loomspan.operators import diagnose, prompts
+
 # Words of controls, by role.
 TERMS = {
     "next_ref": ["next", "다음", "次へ", "suivant", "weiter", "下一页", "siguiente"],
@@ -83,3 +87,46 @@ def cards(pages: DataFrame, most: int = 15) -> DataFrame:
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id", F.lower("name")).orderBy("i"))).filter("n = 1")
     placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("i")))
     return placed.filter(F.col("pos") <= most).select("page_id", "pos", "name", "price_text")
+
+
+def _first(affordances: tuple[str, ...], words: tuple[str, ...], role: str | None = None) -> Column:
+    """The first element of these affordances whose name holds one of the words."""
+    fits = F.col("affordance").isin(*affordances) & F.lower("name").rlike(terms.any_of(tuple(w.lower() for w in words)))
+    return F.min(F.when(fits & (F.col("role") == role) if role else fits, F.col("ref")))
+
+
+def cart_actions(elements: DataFrame, selected: DataFrame) -> DataFrame:
+    """page_id, refs of the cart's controls, prerequisites and flow_state. ``selected``: page_id, ref of selects with a choice made.
+
+    A select of size or colour (any select with values) without a choice is a prerequisite.
+    """
+    chosen = selected.select("page_id", "ref", F.lit(True).alias("_chosen"))
+    rows = elements.join(chosen, ["page_id", "ref"], "left")
+    open_ = (F.col("role") == "combobox") & (F.size("options") > 0) & F.col("_chosen").isNull()
+    out = rows.groupBy("page_id").agg(
+        _first(("click",), terms.ADD_TO_CART).alias("add_to_cart_ref"),
+        _first(("click",), terms.BUY_NOW).alias("buy_now_ref"),
+        _first(("click", "toggle"), terms.WISHLIST).alias("wishlist_ref"),
+        _first(("type", "select"), terms.QUANTITY).alias("quantity_ref"),
+        F.transform(F.array_sort(F.collect_list(F.when(open_, F.struct("ref", "name")))), lambda x: F.concat(F.lit("Select "), x["name"])).alias("prerequisites"),
+    )
+    state = F.when(F.size("prerequisites") > 0, "select_options").when(F.col("add_to_cart_ref").isNotNull(), "ready_to_add").otherwise("unknown")
+    return out.withColumn("flow_state", state)
+
+
+def cart_state(html: Column) -> Column:
+    """struct(confirmed, count): whether the page says that something was put into the cart, and the number on the cart's badge."""
+    low = F.lower(html)
+    badge = F.regexp_extract(low, r"(?:cart|basket|bag)[-_]?(?:count|badge|quantity)[^>]*>\s*(\d+)", 1)
+    return F.struct(low.rlike(terms.any_of(tuple(w.lower() for w in terms.CART_CONFIRMATION))).alias("confirmed"), F.nullif(badge, F.lit("")).try_cast("int").alias("count"))
+
+
+def search_summary(pages: DataFrame, elements: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id, query, sort_ref, sort_options, cards, sponsored, current_page, total_pages of search pages. ``found``: their cards."""
+    sort = (F.col("role") == "combobox") & F.lower("name").rlike(terms.any_of(tuple(w.lower() for w in terms.SORT)))
+    control = elements.filter(sort).groupBy("page_id").agg(F.min(F.struct("ref", "options")).alias("s")).select("page_id", F.col("s.ref").alias("sort_ref"), F.slice("s.options", 1, 10).alias("sort_options"))
+    counted = found.groupBy("page_id").agg(F.count("*").alias("cards"), F.count_if(diagnose.sponsored(F.coalesce("name", F.lit("")))).alias("sponsored"))
+    base = pages.select("page_id", urls.search_query(F.col("url")).alias("query"), prompts.pages_of(F.coalesce("html", F.lit(""))).alias("p"))
+    rows = base.join(control, "page_id", "left").join(counted, "page_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("page_id", "query", "sort_ref", "sort_options", zero("cards"), zero("sponsored"), "p.current_page", "p.total_pages")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan import fixed
+
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em i ins kbd mark q rp rt ruby s samp small span strong sub sup time u var wbr img label".split())
@@ -162,15 +164,20 @@ def node_rows(html: str) -> list[dict]:
         while stack:
             node, parent, depth, main, article, done = stack.pop()
             if done:
-                rows[parent]["last_id"] = len(rows) - 1
+                own = rows[parent]  # here: the node's own number
+                own["last_id"] = len(rows) - 1
+                if own["parent_id"] >= 0:  # sums of what is in the node, and the node itself, for the one that holds it
+                    up = rows[own["parent_id"]]
+                    up["link_chars"] += own["link_chars"] + (len(own["text"]) if own["tag"] == "a" else 0)
+                    up["fields"] += own["fields"] + (own["tag"] in ("input", "select", "button", "textarea"))
                 continue
             here = len(rows)
             rows.append(
                 {
                     "node_id": here, "parent_id": parent, "last_id": here, "depth": depth, "tag": node.tag, "attrs": dict(node.attrs), "text": flat_text(node),
                     "own_text": " ".join("".join(p for p in node.parts if isinstance(p, str)).split()), "xpath": paths[id(node)], "in_main": main, "in_article": article,
-                    "link_chars": sum(len(flat_text(a)) for a in _descendants(node) if a.tag == "a"),
-                    "fields": sum(d.tag in ("input", "select", "button", "textarea") for d in _descendants(node)),
+                    "link_chars": 0,
+                    "fields": 0,
                     "alike": max(Counter((c.tag, frozenset(c.attrs.get("class", "").split()[:3])) for c in node.children).values(), default=0),
                 }
             )
@@ -251,6 +258,8 @@ def merge_small(chunks: list[dict], alpha: float = 1.0) -> list[dict]:
 
 def _table(pages: DataFrame, rows_of, schema: str, id_col: str, html_col: str) -> DataFrame:
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    # a page of more elements than allowed is not parsed; start tags are counted before
+    slim = slim.filter(F.regexp_count("html", F.lit("<[a-zA-Z]")) <= fixed.MAX_DOM_NODES)
     fields = [f for f in slim.sparkSession.createDataFrame([], schema).schema]
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -258,9 +267,11 @@ def _table(pages: DataFrame, rows_of, schema: str, id_col: str, html_col: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r | {"page_id": page} for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in rows_of(html)]
             convert = lambda v: list(v.items()) if isinstance(v, dict) else v
-            yield pa.record_batch([pa.array([convert(r.get(n)) for r in rows], t) for n, t in types], names=[n for n, _ in types])
+            for k in range(batch.num_rows):  # a page at a time: its rows are all that is held
+                page, rows = batch.column(0)[k].as_py(), rows_of(batch.column(1)[k].as_py())
+                if rows:
+                    yield pa.record_batch([pa.array([page if n == "page_id" else convert(r.get(n)) for r in rows], t) for n, t in types], names=[n for n, _ in types])
 
     return slim.mapInArrow(run, schema)
 

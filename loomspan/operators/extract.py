@@ -103,6 +103,17 @@ EXCLUDED = r"(?i)icon|logo|favicon|wordmark|tagline|copyright|badge|shackle|disa
 RESIZE = r"(?i)[?&](?:imwidth|imheight|w|h|width|height|size|sz|quality|q)=[0-9]+"
 
 
+def picture_sources(pages: DataFrame) -> DataFrame:
+    """page_id, url, i, priority, hint, j, src: the best candidate of each source of each picture element, by width or by density
+    (a density counts 10,000 widths), the first of equal ones."""
+    pictures = pages.select("page_id", "url", F.posexplode(_all(F.col("html"), r"(?is)<picture\b[^>]*>(.*?)</picture>", 1)).alias("i", "body"))
+    sets = pictures.select("page_id", "url", (F.col("i") - 1_000_000).alias("i"), F.lit(False).alias("priority"), F.col("body").rlike(HINTS).alias("hint"), F.posexplode(_all(F.col("body"), r"(?i)<source\b[^>]*?\bsrcset=[\"']([^\"']+)[\"']", 1)).alias("j", "set"))
+    parts = F.filter(F.transform(F.split("set", ","), text.trim), lambda p: p != "")
+    size = lambda p, unit: F.nullif(F.regexp_extract(p, rf"[ \t]([0-9.]+){unit}$", 1), F.lit("")).try_cast("double")
+    scored = F.transform(parts, lambda p, k: F.struct(F.coalesce(size(p, "w"), size(p, "x") * 10_000, F.lit(0.0)).alias("score"), (-k).alias("k"), F.regexp_extract(p, r"^([^ \t]+)", 1).alias("src")))
+    return sets.select("page_id", "url", "i", "priority", "hint", "j", F.array_max(scored)["src"].alias("src")).filter("src is not null")
+
+
 def images(pages: DataFrame, most: int = 10) -> DataFrame:
     """page_id, rank, url: up to ``most`` content images - decorative, tiny and excluded ones left out, one per canonical
     address (the largest), sorted by fetch priority, then hint, then order of appearance."""
@@ -117,6 +128,7 @@ def images(pages: DataFrame, most: int = 10) -> DataFrame:
     hint = F.col("tag").rlike(HINTS) | priority | F.col("tag").rlike(r"(?i)\bloading=[\"']eager[\"']")
     named = F.filter(F.array(*[F.regexp_extract("tag", rf"(?i)\b{a}=[\"']([^\"']+)[\"']", 1) for a in ("src", "data-src", "data-lazy-src", "data-original")]), lambda u: u != "")
     rows = tags.select("page_id", "url", "i", priority.alias("priority"), hint.alias("hint"), F.posexplode(F.concat(named, F.transform(srcset, lambda p: F.substring_index(p, " ", 1)))).alias("j", "src"))
+    rows = rows.unionByName(picture_sources(pages))
     rows = rows.withColumn("src", text.unescape(text.trim(F.col("src")))).filter("src <> ''")
     absolute = F.lower("src").rlike("^(https?:)?//")
     rows = rows.filter((absolute | ~F.substring_index("src", "/", 1).contains(":")) & (F.length("src") <= fixed.MAX_URL) & ~F.col("src").rlike(EXCLUDED))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from loomspan import fixed, terms
 from loomspan.functions import prices, text, urls
-from loomspan.operators import cards, classify, detect, diagnose, dom, extract, jsonld
+from loomspan.operators import cards, classify, commerce, detect, diagnose, dom, extract, jsonld
 from loomspan.operators import schema_match as sm
+from loomspan.operators.chunks import every_chunk
 from loomspan.plans import digest, fixtures
 from loomspan.plans.queries import LINES, P, QUERIES, SQL, _host_case, _pages, _t, _tokens, _trim, query
+from loomspan.sources import pages as sources
 from loomspan.streaming import machines
 
 __all__ = ["QUERIES", "SQL"]
@@ -287,6 +289,18 @@ def context_with_least(spark, sf_dir):
     return cards.least_content(own, extract.og_meta(p), lines, 1500)
 
 
+@query()
+def cart_actions(spark, sf_dir):
+    e = extract.interactables(_pages(spark, sf_dir))
+    return commerce.cart_actions(e, e.filter("false"))
+
+
+@query()
+def search_summary(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    return commerce.search_summary(p, extract.interactables(p), cards.cards(p))
+
+
 # structured data
 
 
@@ -304,7 +318,7 @@ def structured_fields(spark, sf_dir):
 def schema_chunks(spark, sf_dir):
     """Prune decisions under the page's schema."""
     p = _pages(spark, sf_dir)
-    return sm.prune(dom.chunks(p).join(p.select("page_id", urls.schema(F.col("url")).alias("schema")), "page_id")).select("page_id", "pos", "kind", "reason", "keep", "score", "matched", "price_no")
+    return sm.prune(every_chunk(p).join(p.select("page_id", urls.schema(F.col("url")).alias("schema")), "page_id")).select("page_id", "pos", "kind", "reason", "keep", "score", "matched", "price_no")
 
 
 @query()
@@ -572,3 +586,79 @@ def field_matches(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").filter("text is not null").selectExpr("doc_id", "n_chars", f"{_PAGE} AS page", f"{_EXPECT} AS d", "coalesce(source, 'none') || ' zzqq yyqq' AS e")
     page = F.col("page")
     return d.select("doc_id", recall.numeric(F.col("n_chars").cast("string"), page).alias("numeric"), recall.day(F.col("d"), page).alias("day"), recall.exact(F.col("e"), page).alias("exact_"), recall.words(F.col("e"), page).alias("words"))
+
+
+@query(f"SELECT page_id, octet_length(encode(html)) AS html_bytes, n AS tags, octet_length(encode(html)) <= {fixed.MAX_HTML_BYTES} AND n <= {fixed.MAX_DOM_NODES} AS allowed FROM (SELECT page_id, html, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n FROM {P})")
+def page_guard(spark, sf_dir):
+    return sources.guard(_pages(spark, sf_dir))
+
+
+# prompts and their pieces
+
+_PARAM_SQL = r"(?i)(?:href|action)=[\"''][^\"'']*[?&](?:page|p|pg|pn|pageNo|pageNum|currentPage)=([0-9]{1,9})"
+
+
+def _re(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _prompt_rows(spark, sf_dir) -> DataFrame:
+    """One row a page with a text for each section."""
+    from loomspan.operators import prompts
+
+    p = _pages(spark, sf_dir)
+    state = p.withColumn("n", ((F.length(F.lower("html")) - F.length(F.replace(F.lower("html"), F.lit("<input"), F.lit("")))) / 6).cast("double"))
+    told = state.select("page_id", "url", detect.barrier(F.col("html"), F.col("n"))["kind"].alias("barrier"), detect.page_state(F.col("html"), F.lit("unknown"), F.col("n"))["state"].alias("state"), prompts.pages_of(F.col("html")).alias("pg"))
+    lines = extract.interactables(p).select("page_id", "ref", prompts.element_line(F.col("options")).alias("l"))
+    actions = lines.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", "l"))), lambda x: x["l"]), "\n").alias("actions"))
+    pictures = extract.images(p).filter("rank <= 5").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: F.concat(F.lit("  ["), x["rank"].cast("string"), F.lit("] "), x["url"])), "\n").alias("images"))
+    rows = digest.digest(p).join(told, "page_id").join(actions, "page_id", "left").join(pictures, "page_id", "left")
+    nonce = F.substring(F.md5(F.col("page_id").cast("string")), 1, 16)
+    info = F.when(F.col("text") != "", text.boundary(text.sanitize_block(F.col("text")), F.col("url"), nonce, F.lit("2026-01-01T00:00:00Z")))
+    place = F.when(F.col("pg.total_pages").isNotNull(), F.when(F.col("pg.current_page").isNotNull(), F.concat(F.lit("Page "), F.col("pg.current_page").cast("string"), F.lit("/"), F.col("pg.total_pages").cast("string"))).otherwise(F.concat(F.lit("~"), F.col("pg.total_pages").cast("string"), F.lit(" pages"))))
+    nothing = F.lit(None).cast("string")
+    return rows.select("page_id", F.struct("url", "title", "page_type", nothing.alias("warnings"), F.concat(F.lit("Type: "), "barrier").alias("barrier"), F.concat(F.lit("State: "), "state").alias("diagnostics"), nothing.alias("ecommerce"), "actions", F.concat_ws(" | ", place, "pg.total_items").alias("navigation"), info.alias("info"), "images").alias("p"))
+
+
+@query()
+def page_prompts(spark, sf_dir):
+    """The whole prompt of every page."""
+    from loomspan.operators import prompts
+
+    return _prompt_rows(spark, sf_dir).select("page_id", prompts.whole(F.col("p")).alias("prompt"))
+
+
+@query()
+def prompt_updates(spark, sf_dir):
+    """Updates of every page's prompt against one whose first action or text line is gone."""
+    from loomspan.operators import prompts
+
+    rows = _prompt_rows(spark, sf_dir)
+    old = F.when(F.col("page_id") % 3 == 0, F.col("p")).otherwise(F.col("p").withField("actions", F.regexp_replace("p.actions", r"^[^\n]*\n", "")))
+    return rows.select("page_id", prompts.update(old, F.col("p")).alias("update"))
+
+
+@query(
+    f"""SELECT page_id, total_pages, total_items, regexp_matches(html, {_re(__import__('loomspan.operators.prompts', fromlist=['NEXT']).NEXT)}) AS has_next, regexp_matches(html, {_re(__import__('loomspan.operators.prompts', fromlist=['PREV']).PREV)}) AS has_prev
+        FROM (SELECT page_id, html, CASE WHEN n > 1 THEN n END AS total_pages, nullif(trim(regexp_extract(html, {_re('(' + __import__('loomspan.operators.prompts', fromlist=['TOTAL']).TOTAL + ')')}, 1)), '') AS total_items
+        FROM (SELECT page_id, html, greatest(coalesce(TRY_CAST(nullif(regexp_extract(html, '[Pp]age\\s+([0-9]+)\\s+(?:of|/)\\s+([0-9]+)', 2), '') AS INTEGER), 0), coalesce(list_max(list_transform(regexp_extract_all(html, '{_PARAM_SQL}', 1), lambda x: CAST(x AS INTEGER))), 0)) AS n FROM {P}))"""
+)
+def page_counts(spark, sf_dir):
+    """Where a page stands among its like."""
+    from loomspan.operators import prompts
+
+    return _pages(spark, sf_dir).select("page_id", prompts.pages_of(F.col("html")).alias("s")).select("page_id", "s.total_pages", "s.total_items", "s.has_next", "s.has_prev")
+
+
+@query()
+def baseline_texts(spark, sf_dir):
+    from loomspan.operators import prompts
+
+    return prompts.baselines(_pages(spark, sf_dir))
+
+
+@query()
+def removed_regions(spark, sf_dir):
+    from loomspan.operators import prompts
+
+    return prompts.removed_regions(dom.remove(dom.weigh(dom.nodes(_pages(spark, sf_dir)))))

@@ -552,7 +552,7 @@ def merge_findings(spark, sf_dir):
     return joins.merge_findings(p.filter("p_size < 20"), p.filter("p_retailprice > 1200"), F.lower(F.substring("p_name", 1, 30)))
 
 
-@query("WITH o AS (SELECT page_id, pos, line FROM (SELECT * FROM " + LINES + "), n AS (SELECT page_id, pos - 1 AS pos, line FROM (SELECT * FROM " + LINES + ") WHERE pos > 0) SELECT coalesce(o.page_id, n.page_id) AS page_id, CAST(coalesce(o.pos, n.pos) AS INTEGER) AS pos, CASE WHEN o.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'removed' WHEN o.line = n.line THEN 'same' ELSE 'changed' END AS verdict FROM o FULL JOIN n ON o.page_id = n.page_id AND o.pos = n.pos")
+@query(f"WITH o AS (SELECT page_id, pos, line FROM {LINES}), n AS (SELECT page_id, pos - 1 AS pos, line FROM {LINES} WHERE pos > 0) SELECT coalesce(o.page_id, n.page_id) AS page_id, CAST(coalesce(o.pos, n.pos) AS INTEGER) AS pos, CASE WHEN o.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'removed' WHEN o.line = n.line THEN 'same' ELSE 'changed' END AS verdict FROM o FULL JOIN n ON o.page_id = n.page_id AND o.pos = n.pos")
 def page_diff(spark, sf_dir):
     """Two snapshots of a page line by line; the second one is the page without its first line."""
     lines = extract.text_lines(_pages(spark, sf_dir))

@@ -34,8 +34,9 @@ def batch_status(wanted: DataFrame, pages: DataFrame, most: int | None = 10) ->
 
 
 def guard(pages: DataFrame) -> DataFrame:
-    """pages with their size in bytes and whether it is allowed."""
-    return pages.select("page_id", F.octet_length("html").alias("html_bytes"), (F.octet_length("html") <= fixed.MAX_HTML_BYTES).alias("allowed"))
+    """pages with their size in bytes, their number of start tags, and whether both are allowed."""
+    size, tags = F.octet_length("html"), F.regexp_count("html", F.lit("<[a-zA-Z]"))
+    return pages.select("page_id", size.alias("html_bytes"), tags.alias("tags"), ((size <= fixed.MAX_HTML_BYTES) & (tags <= fixed.MAX_DOM_NODES)).alias("allowed"))
 
 
 def write_pages(digests: DataFrame, path: str, by: str = "site_id") -> None:

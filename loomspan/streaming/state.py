@@ -1,7 +1,7 @@
 """Keyed state machines: one pure step per machine, used by a batch form and by a Structured Streaming form.
 
 Streaming forms use transformWithStateInPandas, so state lives in the state store of the query, keyed and fault tolerant.
-Batch forms fold a key's rows in event order. Event-time windows with a watermark are this engine's own late-data rule.
+Batch forms pass a key's sorted rows through once (machines.fold), so no key's rows are gathered. Event-time windows with a watermark are this engine's own late-data rule.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.streaming.machines import fold
+
 # Fixed values of the machines.
 EMA_ALPHA = 0.3
 BURST, RATE = 30.0, 10.0
@@ -19,16 +21,23 @@ SESSION_S, RECYCLE = 1800, 100
 CACHE_TTL_S = 90
 
 
-def ema(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Exponential mean of a key's values so far, the first one as start.
+class _Mean:
+    """Rows with a value -> the mean so far."""
 
-    The recursion unrolls to a weighted sum: m_n = (1-a)^n (x_0 + sum of a x_i (1-a)^-i). Carried as a fold over each key's ordered
-    values, because the unrolled powers would overflow.
-    """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r[order].alias("o"), F.when(F.size(acc) == 0, r[value]).otherwise(EMA_ALPHA * r[value] + (1 - EMA_ALPHA) * F.element_at(acc, -1)["m"]).alias("m"))))
-    start = F.array().cast(f"array<struct<o:{dict(events.dtypes)[order]},m:double>>")
-    return rows.select(key, F.explode(F.aggregate("v", start, step)).alias("e")).select(key, F.col("e.o").alias(order), F.col("e.m").alias("ema"))
+    def __init__(self, key: str, order: str, value: str):
+        self.key, self.order, self.value, self.mean = key, order, value, None
+
+    def step(self, row: dict) -> dict:
+        x = row[self.value]
+        self.mean = x if self.mean is None else EMA_ALPHA * x + (1 - EMA_ALPHA) * self.mean
+        return {self.key: row[self.key], self.order: row[self.order], "ema": self.mean}
+
+
+def ema(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Exponential mean of a key's values so far, the first one as start."""
+    kinds = dict(events.dtypes)
+    rows = events.select(key, order, F.col(value).cast("double").alias(value))
+    return fold(rows, key, [order], lambda: _Mean(key, order, value), f"{key} {kinds[key]}, {order} {kinds[order]}, ema double")
 
 
 def step_bucket(tokens: float, last: float, now: float, burst: float = BURST, rate: float = RATE) -> tuple[float, bool]:
@@ -37,20 +46,22 @@ def step_bucket(tokens: float, last: float, now: float, burst: float = BURST, ra
     return (tokens - 1.0, True) if tokens >= 1.0 else (tokens, False)
 
 
-def token_bucket(events: DataFrame, key: str, ts: str, burst: float = BURST, rate: float = RATE) -> DataFrame:
-    """events with ``allowed``: a fold in event order for each key."""
+class _Bucket:
+    """Rows (at, event_id) -> whether a call is let through."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, "event_id"])
-        tokens, last, out = burst, None, []
-        for at in pdf[ts].astype("datetime64[us]").astype("int64") / 1e6:
-            tokens, ok = step_bucket(tokens, at if last is None else last, at, burst, rate)
-            last = at
-            out.append(ok)
-        return pdf.assign(allowed=out)[["event_id", key, "allowed"]]
+    def __init__(self, key: str, burst: float, rate: float):
+        self.key, self.burst, self.rate, self.tokens, self.last = key, burst, rate, burst, None
 
-    slim = events.select("event_id", key, ts)
-    return slim.groupBy(key).applyInPandas(fold, f"event_id long, {key} {dict(events.dtypes)[key]}, allowed boolean")
+    def step(self, row: dict) -> dict:
+        self.tokens, ok = step_bucket(self.tokens, row["at"] if self.last is None else self.last, row["at"], self.burst, self.rate)
+        self.last = row["at"]
+        return {"event_id": row["event_id"], self.key: row[self.key], "allowed": ok}
+
+
+def token_bucket(events: DataFrame, key: str, ts: str, burst: float = BURST, rate: float = RATE) -> DataFrame:
+    """events with ``allowed``, in event order for each key."""
+    rows = events.select("event_id", key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+    return fold(rows, key, ["at", "event_id"], lambda: _Bucket(key, burst, rate), f"event_id long, {key} {dict(events.dtypes)[key]}, allowed boolean")
 
 
 def cache_tiers(events: DataFrame, session: str, ts: str, fingerprint: Column, structure: Column) -> DataFrame:
@@ -62,17 +73,23 @@ def cache_tiers(events: DataFrame, session: str, ts: str, fingerprint: Column, s
     return rows.withColumn("tier", tier).drop("_f", "_s")
 
 
+class _Life:
+    """Rows (t, event_id) -> the number of their session: a new one when the last is too old or was used too often."""
+
+    def __init__(self, session: str):
+        self.session, self.start, self.n, self.no = session, None, 0, 0
+
+    def step(self, row: dict) -> dict:
+        if self.start is None or row["t"] - self.start >= SESSION_S * 1_000_000 or self.n >= RECYCLE:
+            self.start, self.n, self.no = row["t"], 0, self.no + 1
+        self.n += 1
+        return {self.session: row[self.session], "event_id": row["event_id"], "session_no": self.no}
+
+
 def lifetimes(events: DataFrame, session: str, ts: str) -> DataFrame:
-    """session number of each event: a new one when the last is SESSION_S old (from its start) or had RECYCLE events.
-
-    A fold per key: the start of a session depends on all before it.
-    """
-    rows = events.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col("event_id")))).alias("v"))
-    fresh = lambda acc, r: F.struct(r["t"].alias("start"), F.lit(1).alias("n"), (acc["no"] + 1).alias("no"), F.concat(acc["out"], F.array(F.struct(r["event_id"].alias("event_id"), (acc["no"] + 1).alias("no")))).alias("out"))
-    same = lambda acc, r: F.struct(acc["start"].alias("start"), (acc["n"] + 1).alias("n"), acc["no"].alias("no"), F.concat(acc["out"], F.array(F.struct(r["event_id"].alias("event_id"), acc["no"].alias("no")))).alias("out"))
-    start = F.struct(F.lit(-(1 << 62)).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("no"), F.array().cast("array<struct<event_id:bigint,no:int>>").alias("out"))
-    step = lambda acc, r: F.when((r["t"] - acc["start"] >= SESSION_S * 1_000_000) | (acc["n"] >= RECYCLE), fresh(acc, r)).otherwise(same(acc, r))
-    return rows.select(session, F.explode(F.aggregate("v", start, step, lambda a: a["out"])).alias("e")).select(session, F.col("e.event_id").alias("event_id"), F.col("e.no").alias("session_no"))
+    """session number of each event: a new one when the last is SESSION_S old (from its start) or had RECYCLE events."""
+    rows = events.select(session, "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    return fold(rows, session, ["t", "event_id"], lambda: _Life(session), f"{session} {dict(events.dtypes)[session]}, event_id long, session_no int")
 
 
 def scroll_dedup(cards: DataFrame, session: str, order: str) -> DataFrame:

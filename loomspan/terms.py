@@ -97,6 +97,34 @@ FROM_PRICE = (
     "from", "starting at", "starting from", "부터", "から", "より", "à partir de", "depuis", "dès", "ab", "ab einem preis von", "起", "起价",
     "desde", "a partir de", "da", "a partire da", "vanaf", "v.a.",
 )
+ADD_TO_CART = (
+    "장바구니", "장바구니 담기", "카트에 담기", "장바구니에 추가", "add to cart", "add to bag", "add to basket", "add item", "カートに入れる", "カートに追加", "買い物かごに入れる",
+    "ajouter au panier", "ajouter au sac", "in den warenkorb", "in den einkaufswagen", "加入购物车", "加入購物車", "添加到购物车", "añadir al carrito",
+    "agregar al carrito", "aggiungi al carrello", "adicionar ao carrinho", "in winkelwagen", "toevoegen aan winkelwagen",
+)
+BUY_NOW = (
+    "바로구매", "즉시구매", "바로 구매", "지금 구매", "buy now", "buy it now", "purchase now", "今すぐ買う", "今すぐ購入", "acheter maintenant", "achat immédiat",
+    "jetzt kaufen", "sofort kaufen", "立即购买", "立即購買", "马上购买", "comprar ahora", "acquista ora", "compra ora", "comprar agora", "nu kopen",
+)
+WISHLIST = (
+    "위시리스트", "찜", "찜하기", "관심상품", "wishlist", "wish list", "save for later", "add to wishlist", "favorite", "favourites", "お気に入り",
+    "ほしい物リスト", "ウィッシュリスト", "liste de souhaits", "ajouter aux favoris", "wunschzettel", "merkliste", "auf die wunschliste", "收藏", "加入收藏",
+    "心愿单", "願望清單", "lista de deseos", "favoritos", "lista dei desideri", "preferiti", "lista de desejos", "favoritos", "verlanglijst",
+    "favorieten",
+)
+QUANTITY = (
+    "수량", "갯수", "개수", "qty", "quantity", "amount", "数量", "個数", "quantité", "qté", "menge", "anzahl", "数量", "數量", "cantidad", "quantità",
+    "quantidade", "qtd", "aantal", "hoeveelheid",
+)
+SORT = (
+    "정렬", "정렬기준", "정렬 기준", "sort", "sort by", "order by", "並べ替え", "並び順", "ソート", "trier", "trier par", "sortieren", "sortieren nach", "排序",
+    "排列", "ordenar", "ordenar por", "ordina", "ordina per", "ordenar", "ordenar por", "sorteren", "sorteer op",
+)
+CART_CONFIRMATION = (
+    "added to cart", "added to bag", "item added", "장바구니에 담았습니다", "장바구니에 추가", "장바구니 담기 완료", "カートに入れました", "カートに追加しました", "ajouté au panier",
+    "article ajouté", "in den warenkorb gelegt", "zum warenkorb hinzugefügt", "已加入购物车", "已添加到购物车", "añadido al carrito",
+    "aggiunto al carrello", "adicionado ao carrinho", "toegevoegd aan winkelwagen",
+)
 
 # Labels by locale - title, rating, brand, original price, discount, pagination, next available, page suffix, overflow, reviews, currency.
 LABELS = {

@@ -8,25 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import prices, text
 from loomspan.operators import cards, diagnose, jsonld
 from loomspan.operators import schema_match as sm
-from loomspan.plans import more
 from loomspan.streaming import machines
-from tests.test_queries import rows
-
-NEW = sorted(n for n, f in more.QUERIES.items() if n in more.SQL and (f.__module__ == more.__name__))
-
-
-@pytest.mark.parametrize("name", NEW)
-def test_same_as_sql(spark, duck, sf, name):
-    got, want = more.QUERIES[name](spark, sf).toPandas(), duck.execute(more.SQL[name]).fetchdf()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) > 0
-    fixed = [[tuple(x.removesuffix(".0") for x in r) for r in side] for side in (rows(got), rows(want))]
-    assert fixed[0] == fixed[1]
-
-
-@pytest.mark.parametrize("name", sorted(n for n, f in more.QUERIES.items() if n not in more.SQL and f.__module__ == more.__name__))
-def test_has_rows(spark, sf, name):
-    assert more.QUERIES[name](spark, sf).count() > 0
-
 
 # prices
 
@@ -110,6 +92,16 @@ def test_prune_rules(spark):
     assert counts["schema_match"] == (13, 0) and counts["coupang_rec_filter"] == (0, 1)
 
 
+def test_every_chunk(spark):
+    """Head chunks come before the body's and are always kept."""
+    from loomspan.operators.chunks import every_chunk
+
+    html = '<head><meta property="og:title" content="T"><script type="application/ld+json">{"a": 1}</script><script>self.__next_f.push(["2024-1-2"])</script></head><body><h1>Head line</h1></body>'
+    got = sm.prune(every_chunk(spark.createDataFrame([(1, html)], "page_id long, html string")).withColumn("schema", F.lit("NewsArticle"))).orderBy("pos").collect()
+    assert [(r.kind, r.xpath, r.reason) for r in got[:3]] == [("meta", "/json-ld[0]", "meta_always"), ("meta", "/og-meta", "meta_always"), ("rsc_data", "/rsc-data[0]", "meta_always")]
+    assert got[1].attrs == {"og:title": "T"} and got[3].reason == "schema_match" and got[3].matched == ["headline"]
+
+
 def test_shorten(spark):
     rows_ = "".join(f"<tr><td>{k}</td></tr>" for k in range(6))
     given = [("text_block", "One. Two! Three? Four.", ""), ("text_block", "One. Two.", ""), ("table", "x", f"<table>{rows_}</table>"), ("list", "x", "<ul><li>a</li><li>b</li><li>c</li><li>d</li><li>e</li></ul>"), ("form", "f" * 201, "f" * 201), ("heading", "h" * 300, "")]
@@ -313,3 +305,69 @@ def test_fold_deals_every_key_in_order(spark):
     d = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 5 > 0, F.col("id") % 97).alias("key"), (F.col("id") * 7919 % 20_000).alias("at"), "id")
     got = machines.fold(d, "key", ["at", "id"], Count, "id long, n long").join(d, "id").groupBy("key").agg(F.count("*").alias("rows"), F.max("n").alias("n")).collect()
     assert sum(r.rows for r in got) == 20_000 and all(r.rows == r.n for r in got) and any(r.key is None for r in got)
+
+
+# prompts
+
+
+def _row(**over):
+    base = {"url": "u", "title": "T", "page_type": "listing", "warnings": None, "barrier": None, "diagnostics": None, "ecommerce": None, "actions": "[1] button: a (click)\n[2] link: b (click)", "navigation": "~3 pages", "info": "text " * 200, "images": None}
+    return base | over
+
+
+def test_prompts(spark):
+    from loomspan.operators import prompts
+
+    kind = "struct<" + ",".join(f"{k}:string" for k in _row()) + ">"
+    pairs = [(_row(), _row()), (_row(), _row(actions="[1] button: a (click)")), (_row(), _row(info="other " * 200)), (_row(actions=None, info=None), _row(info=None))]
+    got = [r.u for r in spark.createDataFrame(pairs, f"o {kind}, n {kind}").select(prompts.update(F.col("o"), F.col("n")).alias("u")).collect()]
+    assert got[0] == "PageMap Update\nStatus: unchanged\nRefs: 1-2 still valid" and got[2] is None and got[3] is None
+    assert got[1].startswith("PageMap Update\nStatus: updated | refs expired\nChanges:\n- Actions: 1 removed items (1 total)\n\nURL: u\nTitle: T\nType: listing\n") and "## Info — unchanged" in got[1] and "## Actions (1 total)\n[1] button: a (click)" in got[1]
+    full = spark.createDataFrame([(_row(info="i"),)], f"p {kind}").select(prompts.whole(F.col("p")).alias("w")).first().w
+    assert full == "URL: u\nTitle: T\nType: listing\n\n## Actions\n[1] button: a (click)\n[2] link: b (click)\n\n## Navigation\n~3 pages\n\n## Info\ni\n"
+
+
+def test_pieces(spark):
+    from loomspan.operators import prompts
+
+    one = spark.range(1)
+    html = '<script>self.__next_f.push([1,"2024-01-02"])</script><script>x</script><script>self.__next_f.push([1])</script>'
+    (r,) = prompts.rsc_dates(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert (r.xpath, r.text) == ("/rsc-data[0]", "RSC dates: 2024-01-02")
+    merged = one.select(*[prompts.with_structured_image(F.array(F.lit("https://a/1.jpg?w=10"), F.lit("b")), F.lit(x)).alias(f"c{k}") for k, x in enumerate(("https://n/2.jpg", "https://a/1.jpg?w=99", "javascript:x", "https://a/logo.png"))]).first()
+    assert merged.c0[0] == "https://n/2.jpg" and [len(merged[k]) for k in range(4)] == [3, 2, 2, 2]
+    p = one.select(prompts.pages_of(F.lit('Page 2 of 9 <a href="/x?page=12">3</a> 1,234 results <b>Next</b><i class="prev">')).alias("p")).first().p
+    assert tuple(p) == (2, 12, "of 9", True, True) or tuple(p) == (2, 12, "1,234 results", True, True)
+    given = [(1, "https://www.amazon.de/x", '<i class="a-price"><b>12,00</b></i>', "product_detail", None, None), (2, "https://www.coupang.com/x", "", "listing", "5", "")]
+    hints = {r.page_id: (r.price_text, r.currency, r.applied) for r in prompts.site_hints(spark.createDataFrame(given, "page_id long, url string, html string, page_type string, price_text string, currency string")).collect()}
+    assert hints == {1: ("12,00", None, ["amazon_price"]), 2: ("5", "KRW", ["coupang_currency"])}
+    page_ = '<div><div class="x" style="color:red"><p id="a" title="t">one &amp; two</p></div></div><!-- c --><p style="display:none">no</p><script>s</script><b aria-hidden="true">no</b>'
+    assert prompts.baseline(page_) == '<div><div class="x" style="color:red"><p id="a" title="t">one &amp; two</p></div></div>'
+    assert prompts.baseline(page_, True) == '<p title="t">one &amp; two</p>' and prompts.baseline("") == ""
+    src = lambda a, b, og: one.select(prompts.source_of(F.array(*[F.lit(x) for x in a]).cast("array<string>"), F.array(*[F.lit(x) for x in b]).cast("array<string>"), F.lit(og)).alias("s")).first().s
+    assert [src(["name", "price"], ["name"], False), src(["price", "items"], ["items"], True), src(["name"], [], True), src(["name"], [], False), src([], [], False)] == ["json_ld", "", "og", "itemprop", ""]
+
+
+def test_picture_sources(spark):
+    from loomspan.operators import extract
+
+    html = '<picture><source srcset="/a.jpg 300w, /b.jpg 900w"><source srcset="c.jpg 1x, https://x.example/d.jpg 2x"><img src="/f.jpg"></picture><picture><source srcset="/e.jpg, /g.jpg"></picture>'
+    d = spark.createDataFrame([(1, "https://s.example/p/q", html)], "page_id long, url string, html string")
+    assert [r.src for r in extract.picture_sources(d).orderBy("i", "j").collect()] == ["/b.jpg", "https://x.example/d.jpg", "/e.jpg"]
+    assert [r.url for r in extract.images(d).orderBy("rank").collect()] == ["https://s.example/b.jpg", "https://x.example/d.jpg", "https://s.example/e.jpg", "https://s.example/f.jpg"]
+
+
+def test_cart_and_search(spark):
+    from loomspan.operators import commerce
+
+    given = [(1, 1, "button", "Add to cart", "click", []), (1, 2, "combobox", "Size", "select", ["S", "M"]), (1, 3, "combobox", "Qty", "select", ["1"]), (2, 1, "button", "Buy now", "click", []), (2, 2, "link", "add to cart now", "click", []), (3, 1, "combobox", "Sort by", "select", ["price", "new"])]
+    e = spark.createDataFrame(given, "page_id long, ref int, role string, name string, affordance string, options array<string>")
+    got = {r.page_id: r for r in commerce.cart_actions(e, e.filter("page_id = 1 and ref = 3")).collect()}
+    assert (got[1].add_to_cart_ref, got[1].quantity_ref, got[1].prerequisites, got[1].flow_state) == (1, 3, ["Select Size"], "select_options")
+    assert (got[2].add_to_cart_ref, got[2].buy_now_ref, got[2].flow_state) == (2, 1, "ready_to_add")
+    pages_ = spark.createDataFrame([(3, "https://s.example/search?q=red+hat", "Page 2 of 7")], "page_id long, url string, html string")
+    found = spark.createDataFrame([(3, "Hat"), (3, "Hat (sponsored)"), (3, "Bad hat")], "page_id long, name string")
+    r = commerce.search_summary(pages_, e, found).first()
+    assert (r.query, r.sort_ref, r.sort_options, r.cards, r.sponsored, r.current_page, r.total_pages) == ("red hat", 1, ["price", "new"], 3, 1, 2, 7)
+    s = spark.range(1).select(commerce.cart_state(F.lit('<b class="cart-count">3</b> Item added!')).alias("s")).first().s
+    assert tuple(s) == (True, 3)
