@@ -1,6 +1,12 @@
 """A training-corpus pipeline: five stages, each one an operator of loomspan.llm applied to what the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
+
+Defined cases of every stage: a null text counts as empty; texts may have any length; extra columns, whatever their names, come
+through unchanged (all stages but the last); an empty table gives an empty one. Empty texts fail the quality rules, so they don't
+reach the later stages of run(); given to a later stage alone, one empty text stays through exact dedup, all of them through near
+duplicates, none through the mix, and packing gives each its end id. Rows without an id are documents like any others: one of each
+group stays. Rows repeated in full are copies of each other.
 """
 
 from __future__ import annotations
