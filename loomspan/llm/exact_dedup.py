@@ -124,9 +124,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns, whatever their names. Null texts count as empty, so one
+    empty text stays; of rows repeated in full one stays; texts may have any length; an empty table stays empty."""
     columns = docs.columns
-    one = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), sha)
+    # a null id and an empty string are different ids
+    one = lambda i, sha: F.concat_ws("|", i.isNull().cast("string"), F.coalesce(i.cast("string"), F.lit("")), sha)
     verdict = exact_dedup(docs, id_col, text_col, block_bytes).filter("kept").select(one(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), one(F.col(id_col), F.sha2(_normalised(text_col), 256)).alias("_key"))
     # rows repeated in full (same id and text) pass the join together: one of them stays
