@@ -278,7 +278,8 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
 def feistel_pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """One row per input row: doc_id, n_found, kinds (sorted, comma-joined), changed, text, spans (in the input text).
 
-    A null text counts as empty and comes back as the empty text with nothing found. Repeated rows give repeated rows.
+    A null or empty text comes back as the empty text with nothing found. Repeated rows give repeated rows, texts may have any
+    length, other columns are ignored, and an empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
