@@ -12,24 +12,24 @@ from loomspan.functions import urls
 PAGE_RECOVERY = {
     "bot_blocked": (("wait_for", "Wait for challenge to resolve"), ("navigate", "Try alternate URL")),
     "empty_results": (("navigate", "Try broader search"), ("scroll_page", "Check lazy-loaded results")),
-    "out_of_stock": (("get_page_map", "Refresh to check stock"), ("navigate", "Search alternatives")),
+    "out_of_stock": (("fetch_page", "Refresh to check stock"), ("navigate", "Search alternatives")),
     "login_required": (("execute_action", "Fill login form"), ("navigate", "Try public page")),
-    "error_page": (("navigate", "Try different URL"), ("get_page_map", "Retry current page")),
+    "error_page": (("navigate", "Try different URL"), ("fetch_page", "Retry current page")),
     "age_verification": (("execute_action", "Accept age verification"),),
     "region_restricted": (("navigate", "Try alternate URL"),),
 }
 ACTION_RECOVERY = {
-    "element_hidden": (("scroll_page", "Scroll to reveal element"), ("get_page_map", "Refresh refs")),
-    "element_blocked": (("execute_action", "Dismiss overlay"), ("get_page_map", "Refresh refs")),
-    "state_changed": (("get_page_map", "Page changed; refresh refs"),),
-    "navigation_unexpected": (("get_page_map", "Unexpected navigation; refresh refs"),),
-    "timeout_exceeded": (("wait_for", "Wait for page response"), ("get_page_map", "Rebuild after wait")),
+    "element_hidden": (("scroll_page", "Scroll to reveal element"), ("fetch_page", "Refresh refs")),
+    "element_blocked": (("execute_action", "Dismiss overlay"), ("fetch_page", "Refresh refs")),
+    "state_changed": (("fetch_page", "Page changed; refresh refs"),),
+    "navigation_unexpected": (("fetch_page", "Unexpected navigation; refresh refs"),),
+    "timeout_exceeded": (("wait_for", "Wait for page response"), ("fetch_page", "Rebuild after wait")),
 }
 # How error messages name a failure.
 TIMEOUT, HIDDEN = r"(?i)timeout|timed?\s*out", r"(?i)not visible|hidden|not in the viewport|is not displayed"
 BLOCKED, DETACHED = r"(?i)intercept|overlay|covered|obscured|another element", r"(?i)not attached|detached|removed from|no longer|disposed"
-# Risk of tools, and which elements an action suits (none named: any).
-TOOL_RISK = {"get_page_map": "low", "execute_action": "medium", "fill_form": "medium", "batch_get_page_map": "high", "get_page_state": "low", "take_screenshot": "low", "navigate_back": "low", "scroll_page": "low", "wait_for": "low"}
+# Risk of tools (their names are this engine's own), and which elements an action suits (none named: any).
+TOOL_RISK = {"fetch_page": "low", "execute_action": "medium", "fill_form": "medium", "fetch_pages": "high", "get_page_state": "low", "take_screenshot": "low", "navigate_back": "low", "scroll_page": "low", "wait_for": "low"}
 AFFORDANCE = {"click": None, "type": ("type",), "select": ("select",), "press_key": None, "hover": None}
 # Frameworks by their signal, in order, and how sure the two best known ones are.
 FRAMEWORKS = ("nextjs", "nuxt", "react", "vue", "angular", "svelte")
@@ -82,7 +82,7 @@ def tool_risk(tool: Column, url: Column, active: Column) -> Column:
     """Risk of a call; fetching a page is high on the first navigation and whenever the authority changes."""
     base = F.coalesce(F.create_map(*[F.lit(x) for kv in TOOL_RISK.items() for x in kv])[tool], F.lit("medium"))
     here, there = F.nullif(F.lower(urls.authority(url)), F.lit("")), F.nullif(F.lower(urls.authority(active)), F.lit(""))
-    return F.when((tool == "get_page_map") & url.isNotNull(), F.when(here.isNull() | there.isNull() | (here != there), "high").otherwise("low")).otherwise(base)
+    return F.when((tool == "fetch_page") & url.isNotNull(), F.when(here.isNull() | there.isNull() | (here != there), "high").otherwise("low")).otherwise(base)
 
 
 def suits(action: Column, affordance: Column) -> Column:

@@ -63,7 +63,7 @@ def update(old: Column, new: Column) -> Column:
         every = every & same[s]
     count = lambda p: F.when(F.coalesce(p["actions"], F.lit("")) == "", 0).otherwise(F.size(F.split(p["actions"], "\n")))
     n, was = count(new), count(old)
-    still = F.concat_ws("\n", F.lit("PageMap Update\nStatus: unchanged"), F.when(n > 0, F.concat(F.lit("Refs: 1-"), n.cast("string"), F.lit(" still valid"))))
+    still = F.concat_ws("\n", F.lit("Page update\nStatus: unchanged"), F.when(n > 0, F.concat(F.lit("Refs: 1-"), n.cast("string"), F.lit(" still valid"))))
     actions = (
         F.when(n > was, F.concat(F.lit("- Actions: "), (n - was).cast("string"), F.lit(" new items ("), n.cast("string"), F.lit(" total)")))
         .when(n < was, F.concat(F.lit("- Actions: "), (was - n).cast("string"), F.lit(" removed items ("), n.cast("string"), F.lit(" total)")))
@@ -72,7 +72,7 @@ def update(old: Column, new: Column) -> Column:
     told = {"ecommerce": "- Ecommerce: updated", "info": "- Info: content updated", "navigation": "- Navigation: updated", "images": "- Images: updated"}
     changes = F.concat_ws("\n", F.when(~same["actions"], actions), *[F.when(~same[s], F.lit(told[s])) for s in ("ecommerce", "info", "navigation", "images")])
     status = F.when(~same["actions"], F.lit("Status: updated | refs expired")).otherwise(F.lit("Status: updated"))
-    head = F.concat(F.lit("PageMap Update\n"), status, F.lit("\nChanges:\n"), changes, F.lit("\n\n"), _header(new))
+    head = F.concat(F.lit("Page update\n"), status, F.lit("\nChanges:\n"), changes, F.lit("\n\n"), _header(new))
     parts = []
     for s in watched:
         fresh = F.concat(F.lit(f"{_HEADS[s]} (updated)\n"), new[s], F.lit("\n"))
@@ -177,6 +177,6 @@ def baselines(pages: DataFrame, most: int = 25_000) -> DataFrame:
 
 def source_of(found: Column, jsonld_fields: Column, has_og: Column) -> Column:
     """Where a page's metadata came from, by their keys (internal ones aside): JSON-LD where two agree or the name does, else Open Graph or itemprop."""
-    keys = F.array_except(found, F.array(F.lit("items"), F.lit("_pruning_result")))
+    keys = F.array_except(found, F.array(F.lit("items")))
     both = F.array_intersect(keys, jsonld_fields)
     return F.when(F.size(keys) == 0, "").when((F.size(both) >= 2) | F.array_contains(both, "name"), "json_ld").when(F.array_contains(keys, "name"), F.when(has_og, "og").otherwise("itemprop")).otherwise("")

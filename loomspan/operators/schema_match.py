@@ -181,7 +181,7 @@ def matches(schema: Column) -> Column:
 REASONS = {
     "meta_always": (True, 1.0), "schema_match": (True, 0.9), "in_main_heading": (True, 0.85), "in_main_hv_short": (True, 0.75), "in_main_text": (True, 0.7),
     "in_main_structured": (True, 0.7), "in_main_form": (True, 0.65), "in_main_media": (True, 0.6), "keep_heading_no_main": (True, 0.6), "keep_text_no_main": (True, 0.55),
-    "keep_form_no_main": (True, 0.5), "keep_media_no_main": (True, 0.45), "coupang_rec_filter": (False, 0.0), "in_main_short": (False, 0.0), "no_match": (False, 0.0),
+    "keep_form_no_main": (True, 0.5), "keep_media_no_main": (True, 0.45), "recommendation": (False, 0.0), "in_main_short": (False, 0.0), "no_match": (False, 0.0),
 }
 
 
@@ -208,7 +208,7 @@ def prune(chunks: DataFrame, schema_col: str = "schema", alpha: float = 1.0) ->
     short, measure = F.col("text").rlike(SHORT), F.col("text").rlike(MEASURE)
     rules = [
         (kind.isin("meta", "rsc_data"), "meta_always"),
-        (F.col("_priced") & (F.col("price_no") > PRICES) & ~F.col("in_main") & (shared < SHARED_STEPS), "coupang_rec_filter"),
+        (F.col("_priced") & (F.col("price_no") > PRICES) & ~F.col("in_main") & (shared < SHARED_STEPS), "recommendation"),
         (F.col("_hit"), "schema_match"),
         (main & (kind == "heading"), "in_main_heading"),
         (main & (kind == "text_block") & (n > least["in_main_text"]), "in_main_text"),
@@ -226,7 +226,7 @@ def prune(chunks: DataFrame, schema_col: str = "schema", alpha: float = 1.0) ->
     reason = F.lit("no_match")
     for cond, name in reversed(rules):
         reason = F.when(cond, F.lit(name)).otherwise(reason)
-    out = out.withColumn("reason", reason).withColumn("matched", F.when(F.col("reason").isin("schema_match", "coupang_rec_filter"), F.transform("_m", lambda x: x["field"])))
+    out = out.withColumn("reason", reason).withColumn("matched", F.when(F.col("reason").isin("schema_match", "recommendation"), F.transform("_m", lambda x: x["field"])))
     out = out.withColumn("keep", F.col("reason").isin([r for r, (kept, _) in REASONS.items() if kept]))
     score = F.create_map(*[F.lit(x) for r, (_, s) in REASONS.items() for x in (r, s)])[F.col("reason")]
     return out.withColumn("score", score).drop("_m", "_main", "_hit", "_priced", "_first")

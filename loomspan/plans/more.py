@@ -397,12 +397,12 @@ def content_hash(spark, sf_dir):
 
 # diagnostics, with events as calls
 
-_TOOL = "CASE event_type WHEN 'click' THEN 'get_page_map' WHEN 'view' THEN 'execute_action' WHEN 'purchase' THEN 'batch_get_page_map' ELSE 'own_tool' END"
+_TOOL = "CASE event_type WHEN 'click' THEN 'fetch_page' WHEN 'view' THEN 'execute_action' WHEN 'purchase' THEN 'fetch_pages' ELSE 'own_tool' END"
 _URL = "CASE WHEN event_id % 11 = 0 THEN 'not a url' ELSE 'https://h' || (event_id % 3) || '.example.com/p' END"
 
 
 @query(
-    f"SELECT event_id, CASE WHEN tool = 'get_page_map' THEN CASE WHEN here IS NULL OR there IS NULL OR here <> there THEN 'high' ELSE 'low' END ELSE CASE tool {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in diagnose.TOOL_RISK.items())} ELSE 'medium' END END AS risk FROM (SELECT event_id, tool, a AS here, lag(a) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS there"
+    f"SELECT event_id, CASE WHEN tool = 'fetch_page' THEN CASE WHEN here IS NULL OR there IS NULL OR here <> there THEN 'high' ELSE 'low' END ELSE CASE tool {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in diagnose.TOOL_RISK.items())} ELSE 'medium' END END AS risk FROM (SELECT event_id, tool, a AS here, lag(a) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS there"
     f" FROM (SELECT *, {_TOOL} AS tool, nullif(lower(regexp_extract({_URL}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS a FROM events))"
 )
 def tool_risk(spark, sf_dir):

@@ -86,10 +86,10 @@ def test_prune_rules(spark):
     given += [chunk(12, text="$ 9,000", xpath="/html/body/div[2]/p"), chunk(13, text="$ 9,000", main=True, xpath="/html/body/main/p"), chunk(14, text="short", main=True), chunk(15, "form", "form", "x", main=True), chunk(16, text="only 3 left", main=True)]
     d = sm.prune(spark.createDataFrame(given, CHUNK).withColumn("schema", F.lit("Product")))
     got = {r.pos: r for r in d.collect()}
-    assert got[11].reason == "schema_match" and got[11].price_no == 11 and got[12].reason == "coupang_rec_filter" and not got[12].keep and got[13].reason == "schema_match"
+    assert got[11].reason == "schema_match" and got[11].price_no == 11 and got[12].reason == "recommendation" and not got[12].keep and got[13].reason == "schema_match"
     assert [got[k].reason for k in (14, 15, 16)] == ["in_main_short", "in_main_form", "in_main_hv_short"] and got[16].score == 0.75
     counts = {r.reason: (r.kept, r.removed) for r in sm.reason_counts(d).collect()}
-    assert counts["schema_match"] == (13, 0) and counts["coupang_rec_filter"] == (0, 1)
+    assert counts["schema_match"] == (13, 0) and counts["recommendation"] == (0, 1)
 
 
 def test_every_chunk(spark):
@@ -321,8 +321,8 @@ def test_prompts(spark):
     kind = "struct<" + ",".join(f"{k}:string" for k in _row()) + ">"
     pairs = [(_row(), _row()), (_row(), _row(actions="[1] button: a (click)")), (_row(), _row(info="other " * 200)), (_row(actions=None, info=None), _row(info=None))]
     got = [r.u for r in spark.createDataFrame(pairs, f"o {kind}, n {kind}").select(prompts.update(F.col("o"), F.col("n")).alias("u")).collect()]
-    assert got[0] == "PageMap Update\nStatus: unchanged\nRefs: 1-2 still valid" and got[2] is None and got[3] is None
-    assert got[1].startswith("PageMap Update\nStatus: updated | refs expired\nChanges:\n- Actions: 1 removed items (1 total)\n\nURL: u\nTitle: T\nType: listing\n") and "## Info — unchanged" in got[1] and "## Actions (1 total)\n[1] button: a (click)" in got[1]
+    assert got[0] == "Page update\nStatus: unchanged\nRefs: 1-2 still valid" and got[2] is None and got[3] is None
+    assert got[1].startswith("Page update\nStatus: updated | refs expired\nChanges:\n- Actions: 1 removed items (1 total)\n\nURL: u\nTitle: T\nType: listing\n") and "## Info — unchanged" in got[1] and "## Actions (1 total)\n[1] button: a (click)" in got[1]
     full = spark.createDataFrame([(_row(info="i"),)], f"p {kind}").select(prompts.whole(F.col("p")).alias("w")).first().w
     assert full == "URL: u\nTitle: T\nType: listing\n\n## Actions\n[1] button: a (click)\n[2] link: b (click)\n\n## Navigation\n~3 pages\n\n## Info\ni\n"
 
