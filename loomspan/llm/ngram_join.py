@@ -3,18 +3,20 @@
 Documents are sets of 64-bit fingerprints of their distinct five-word shingles. All links (Jaccard of 0.75 or more) are found,
 and the components they form, without comparing all pairs:
 
-1. Equal texts are one set: a task sends each text once, and what several tasks send is joined where it is counted.
-2. One exchange of packed shingles (48 bits of the fingerprint: chance meetings in a pair of sets stay out of reach, at
-   two thirds of the bytes) counts in how many sets each occurs. A set of which under 75% occurs elsewhere can't link;
+1. Equal texts are one set: a task sends each text once, and what several tasks send is joined where it is counted. A
+   text is known by 64 bits that a second 64-bit hash has shown to belong to it alone.
+2. One exchange of packed shingles counts in how many sets each occurs. A set of which under 75% occurs elsewhere can't link;
    the others (few) keep their shared shingles, a hashed bitmap and a prefix: sorted from rare to frequent, two linking
-   sets share a shingle within the first quarter (prefix filter with exact frequencies).
+   sets share a shingle within the first quarter (prefix filter with exact frequencies). Frequencies only choose candidates:
+   what links is decided by the fingerprints of the two sets alone, where a chance meeting in 20,000 shingles each has odds of 2e-11.
 3. Sets that share a prefix shingle are compared with the smallest of them, then, where they are still in several components,
    with one set of the largest, a few turns: as many comparisons as members. Links form components.
 4. What is still apart makes tiles by largest component and size band: the sets outside it against all of its shingles'
    sets. Bit counts bound the overlap from above; what passes is intersected exactly.
 
 Pairs inside a component are never compared again, so thousands of near copies cost thousands of comparisons, not their
-square, and no link between different components is missed.
+square, and no link between different components is missed. Joins by shingle use another key than the aggregates beside them,
+so both sides are exchanged for the join and adaptive execution can split a frequent shingle's rows.
 """
 
 from __future__ import annotations
@@ -24,18 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import checkpoint, discard, stored_at, sweep, text_of
 from loomspan.llm.components import components
-from loomspan.llm.packed import combine, pack, release, texts_of, unpack, words
+from loomspan.llm.packed import combine, narrow, pack, release, runs, shard_of, texts_of, unpack, widen, words
 
 GRAM = 5
 #: A link: LINK_OF * intersection >= LINK * union.
 LINK, LINK_OF = 75, 100
-#: Of a 64-bit shingle fingerprint the top 48 bits travel and are compared.
-KEY_SHIFT, KEY_BITS = np.uint64(16), 48
 BITMAP_BYTES = 128
 TILE = 1024
 #: Turns of comparing with one set of the largest component before the tiles; they only save work.
@@ -60,15 +60,16 @@ def shingles(texts: list[bytes], gram: int = GRAM) -> tuple[np.ndarray, np.ndarr
     key, at = key[order], at[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-    return key[new] >> KEY_SHIFT, at[new]
+    return key[new], at[new]
 
 
 def _spread(shards: int):
-    """Rows (rid, text) -> packed shingles by shard, a few MB of text at a time; shard -1 has the sizes."""
+    """Rows (rid, text) -> packed shingles by shard, a few MB of text at a time; the sizes in shards below 0, as many of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # shards are ranges of the fingerprint, so each is a slice of the sorted shingles
-        edges = np.array([(s << KEY_BITS) // shards for s in range(1, shards)], dtype=np.uint64)
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() * 7919
         sent: set[int] = set()  # of this task: equal texts go once
         for batch in batches:
             _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
@@ -79,12 +80,12 @@ def _spread(shards: int):
             for a, b, texts in texts_of(batch.column(1)):
                 keys, owner = shingles(texts)
                 rid, size = ids[a:b], np.bincount(owner, minlength=b - a).astype(np.uint32)
-                out = [(-1, pack(rid, size))]
-                edge = np.searchsorted(keys, edges)
-                for s, (k, o) in enumerate(zip(np.split(keys, edge), np.split(owner, edge), strict=True)):
-                    if len(k):
-                        here, o = np.unique(o, return_inverse=True)
-                        out.append((s, pack(np.diff(k, prepend=np.uint64(0)), o.astype(np.uint32), rid[here], size[here])))
+                out = [(-1 - number % shards, pack(rid, size))]
+                number += 1
+                # shards are ranges of the fingerprint, so each is a slice of the sorted shingles
+                for s, i, j in runs(shard_of(keys, shards)):
+                    here, o = np.unique(owner[i:j], return_inverse=True)
+                    out.append((s, pack(np.diff(keys[i:j], prepend=np.uint64(0)), narrow(o), rid[here], size[here])))
                 yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["shard", "cell"])
 
     return run
@@ -101,6 +102,7 @@ def _shared(buckets: int):
         keys, owner, size = [], [], []
         for raw in cells:
             k, o, rid, n = unpack(raw)
+            o = widen(o, len(k))
             keys.append(np.cumsum(k, dtype=np.uint64))
             owner.append(rid[o])
             size.append(n[o])
@@ -126,11 +128,9 @@ def _shared(buckets: int):
         order = np.lexsort((k, bucket))
         k, o, n, df, bucket = k[order], o[order], n[order], df[order], bucket[order]
         out = []
-        edge = np.searchsorted(bucket, np.arange(1, buckets))
-        for b, part in enumerate(zip(*(np.split(x, edge) for x in (k, o, n, df)), strict=True)):
-            if len(part[0]):
-                here, first, index = np.unique(part[1], return_index=True, return_inverse=True)
-                out.append((b, pack(np.diff(part[0], prepend=np.uint64(0)), index.astype(np.uint32), here, part[2][first], part[3])))
+        for b, i, j in runs(bucket):
+            here, first, index = np.unique(o[i:j], return_index=True, return_inverse=True)
+            out.append((b, pack(np.diff(k[i:j], prepend=np.uint64(0)), narrow(index), here, n[i:j][first], df[i:j])))
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "cell": pa.array([c for _, c in out], pa.binary())})
 
     return run
@@ -138,7 +138,7 @@ def _shared(buckets: int):
 
 def bitmap(keys: np.ndarray) -> bytes:
     bits = np.zeros(BITMAP_BYTES * 8, dtype=np.uint8)
-    bits[(keys >> np.uint64(3)) % np.uint64(BITMAP_BYTES * 8)] = 1
+    bits[(keys >> np.uint64(19)) % np.uint64(BITMAP_BYTES * 8)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -153,6 +153,7 @@ def _survivors(table: pa.Table) -> pa.Table:
     keys, owner, size, df = [], [], [], []
     for raw in table.column("cell").to_pylist():
         k, o, rid, n, d = unpack(raw)
+        o = widen(o, len(k))
         keys.append(np.cumsum(k, dtype=np.uint64))
         owner.append(rid[o])
         size.append(n[o])
@@ -225,12 +226,18 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
+def _by_token(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows joined with one row a token, by a key that stands for the token but isn't the one that ``groups`` was grouped by."""
+    key = F.col("token").bitwiseXOR(F.lit(0x5DEECE66D)).alias("_key")
+    return rows.select("*", key).join(groups.select(key, *[c for c in groups.columns if c != "token"]), "_key").drop("_key")
+
+
 def _grouped(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows (token, rid) of shingles whose sets are in several components: with comp, and main, the largest one."""
     at = checkpoint(rows.join(comp.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")))
     parts = at.groupBy("token", "comp").agg(F.count("*").alias("m"))
     groups = parts.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("most"))
-    return checkpoint(at.join(groups.filter("comps > 1").select("token", F.col("most.comp").alias("main")), "token"))
+    return checkpoint(_by_token(at, groups.filter("comps > 1").select("token", F.col("most.comp").alias("main"))))
 
 
 def _stars(grouped: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
@@ -259,31 +266,55 @@ def _across(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     outside = members.filter("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     outside = outside.select(*keep, "band", F.lit(True).alias("out"), i.alias("i"), F.explode(last("members")).alias("j"))
     every = members.select(*keep, "band", F.lit(False).alias("out"), F.explode(last("outside")).alias("i"), j.alias("j"))
-    return outside.unionByName(every).groupBy("main", "band", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
+    # one key of their own for the tiles, so that those of one component are dealt over the tasks, not all to the one of its number
+    tiles = outside.unionByName(every).withColumn("tile", F.concat_ws("|", "main", "band", "i", "j"))
+    return tiles.groupBy("tile").applyInArrow(_tile, "a long, b long").distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _known_by(base: DataFrame, bits: int = 64) -> Column:
+    """A column that is one number for each different text: a 64-bit hash, salted where two texts share it.
+
+    Found by a second 64-bit hash; in n texts n^2 / 2^65 of them are expected to share one (24 in 30 billion), so the list
+    of those numbers is short. ``bits`` narrows the hash; only tests lower it, to force shared numbers.
+    """
+    first = F.xxhash64("text") if bits == 64 else F.pmod(F.xxhash64("text"), F.lit(1 << bits))
+    second = F.xxhash64(F.lit(1), F.col("text"))
+    clash = base.select(first.alias("h"), second.alias("s")).groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b")
+    shared = [r.h for r in clash.select("h").collect()]
+    return F.when(first.isin(shared), F.xxhash64(second, F.col("text"))).otherwise(first) if shared else first
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(documents, links).
 
     documents: one row per input row - id, n_shingles, component_id (smallest id reachable by links, itself included),
     rid (class of equal texts). links: pairs of classes (a, b) that were compared and link; they span every component.
     A null text counts as empty; a text without words has no shingles, links with nothing and is its own component.
-    Repeated rows are copies of each other. A component of null ids only has a null component_id.
+    Repeated rows are copies of each other. A component of null ids only has a null component_id. Texts and words may have any
+    length; other columns are ignored. An empty table gives two empty frames. ``hash_bits`` is for tests.
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    ids = base.select("id", F.xxhash64("text").alias("rid"))
+    out, edges = _classes(base, _known_by(base, hash_bits))
+    return out.drop("comp"), edges
+
+
+def _classes(base: DataFrame, known_by: Column) -> tuple[DataFrame, DataFrame]:
+    """jaccard_join of rows (id, text); documents with comp, the smallest class of the component, too."""
+    spark = base.sparkSession
+    rid = known_by.alias("rid")
+    ids = base.select("id", rid)
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(volume) // BYTES_PER_SHARD))
-    spread = base.select(F.xxhash64("text").alias("rid"), "text").mapInArrow(_spread(shards), "shard int, cell binary")
+    spread = base.select(rid, "text").mapInArrow(_spread(shards), "shard int, cell binary")
     shared, shared_path = stored_at(spread.groupBy("shard").applyInArrow(_shared(shards), "bucket int, cell binary"), "shared")
     sizes = checkpoint(shared.filter("bucket < 0").mapInArrow(_sizes, "rid long, n long").distinct())
     sets, sets_path = stored_at(shared.filter("bucket >= 0").groupBy("bucket").applyInArrow(_survivors, "rid long, n long, keys binary, bits binary, prefix array<long>"), "sets")
-    discard(docs.sparkSession, shared_path)
-    sweep(docs.sparkSession)
+    discard(spark, shared_path)
+    sweep(spark)
 
     rows = sets.select(F.explode("prefix").alias("token"), "rid", "n")
     centre = rows.groupBy("token").agg(F.min(F.struct("n", "rid")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("c.n").alias("n_c"), F.col("c.rid").alias("a"))
-    stars = rows.join(centre, "token").filter((F.col("a") != F.col("rid")) & (LINK_OF * F.col("n_c") >= LINK * F.col("n"))).select("a", F.col("rid").alias("b")).distinct()
+    stars = _by_token(rows, centre).filter((F.col("a") != F.col("rid")) & (LINK_OF * F.col("n_c") >= LINK * F.col("n"))).select("a", F.col("rid").alias("b")).distinct()
     edges = checkpoint(_linked(stars, sets))
     comp = components(edges)
     left = rows
@@ -297,13 +328,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not left.isEmpty():
         edges = checkpoint(edges.unionByName(_linked(_across(left, sets), sets)))
         comp = components(edges)
-    discard(docs.sparkSession, sets_path)  # all links are in the checkpoint of edges
-    sweep(docs.sparkSession)
+    discard(spark, sets_path)  # all links are in the checkpoint of edges
+    sweep(spark)
     placed = ids.groupBy("rid").agg(F.min("id").alias("least")).join(sizes, "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     placed = checkpoint(placed)
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    placed = checkpoint(placed.join(least, "comp").select("rid", "n", "component_id"))
-    out = ids.join(placed, "rid").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "rid")
+    placed = checkpoint(placed.join(least, "comp").select("rid", "n", "comp", "component_id"))
+    out = ids.join(placed, "rid").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "rid", "comp")
     return out, edges
 
 
@@ -315,11 +346,20 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays, that of the smallest id; rows without words all stay."""
-    out, _ = jaccard_join(docs, id_col, text_col)
-    one = lambda i, rid: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), rid.cast("string"))
-    kept = out.filter("n_shingles = 0 or id <=> component_id").select(one(F.col("id"), F.col("rid")).alias("_key"), "n_shingles").distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), one(F.col(id_col), F.xxhash64(text_of(text_col))).alias("_key"))
+    """One row of each component stays, that of the smallest id (where that id has several texts or rows, one of them); rows
+    without words all stay. A null id is never the smallest, unless all of a component are null. All columns are kept, whatever
+    their names; an empty table stays empty.
+    """
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rid = _known_by(base)
+    out, _ = _classes(base, rid)
+    # a null id and an empty string are different ids
+    one = lambda i, r: F.concat_ws("|", i.isNull().cast("string"), F.coalesce(i.cast("string"), F.lit("")), r.cast("string"))
+    best = out.filter("n_shingles > 0 and id <=> component_id").groupBy("comp").agg(F.first("id").alias("id"), F.min("rid").alias("rid")).select("id", "rid", F.lit(1).alias("n_shingles"))
+    kept = best.unionByName(out.filter("n_shingles = 0").select("id", "rid", F.lit(0).alias("n_shingles")).distinct())
+    kept = kept.select(one(F.col("id"), F.col("rid")).alias("_key"), "n_shingles")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(id_col).alias("id"), text_of(text_col).alias("text")).alias("t"))
+    row = row.select("row", F.col("t.id").alias("id"), F.col("t.text").alias("text")).select("row", one(F.col("id"), rid).alias("_key"))
     row = row.join(kept, "_key")
     alone = row.filter("n_shingles > 0").dropDuplicates(["_key"]).unionByName(row.filter("n_shingles = 0"))
     return alone.select("row.*")
