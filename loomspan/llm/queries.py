@@ -53,8 +53,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_slot: the document's first slot in the mix, -1 for none; n_slots: in how many it lies."""
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.selectExpr("id AS doc_id", "size", "source_size", "target", "taken", "array_min(passes) AS first_slot", "n_slots")
+    return rows.selectExpr("id AS doc_id", "size", "source_size", "target", "taken", "coalesce(array_min(passes), -1) AS first_slot", "n_slots")
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +113,18 @@ def oracle_sql() -> dict[str, str]:
                   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
             goal AS (SELECT source, blocks, sum(blocks) OVER (ORDER BY source NULLS LAST) - blocks AS lo, sum(blocks) OVER () AS total
                      FROM (SELECT source, CAST(ceil(floor(target) / {mixing.BLOCK_WORDS}) AS BIGINT) AS blocks FROM g WHERE floor(target) > 0)),
-            points AS (SELECT slot, (CAST(slot AS HUGEINT) * {mixing.STEP} % {mixing.LATTICE}) * (SELECT max(total) FROM goal) // {mixing.LATTICE} AS at
+            points AS (SELECT slot, (CAST(slot AS HUGEINT) * {mixing.STEP} % {mixing.LATTICE}) * (SELECT max(total) FROM goal) // {mixing.LATTICE} AS spot
                        FROM (SELECT unnest(range((SELECT CAST(max(total) AS BIGINT) FROM goal))) AS slot)),
-            owned AS (SELECT source, slot, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM points JOIN goal ON at >= lo AND at < lo + blocks),
+            owned AS (SELECT source, slot, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM points JOIN goal ON spot >= lo AND spot < lo + blocks),
             got AS (SELECT source, count(*) AS n FROM owned GROUP BY source),
             missed AS (SELECT goal.source, lo, total, unnest(range(coalesce(n, 0), blocks)) AS k FROM goal LEFT JOIN got ON goal.source IS NOT DISTINCT FROM got.source WHERE coalesce(n, 0) < blocks),
             slots AS (SELECT source, k, slot FROM owned WHERE k < blocks UNION ALL SELECT source, k, total + lo + k FROM missed),
             runs AS (SELECT doc_id, source, size, begins, unnest(range(begins_at // {mixing.BLOCK_WORDS}, (least(begins_at + size, quota) - 1) // {mixing.BLOCK_WORDS} + 1)) AS k
                      FROM (SELECT *, begins + source_size * pass AS begins_at FROM p, (SELECT unnest([0, 1, 2]) AS pass)) WHERE size > 0 AND begins_at < quota),
-            lies AS (SELECT doc_id, source, size, begins, min(slot) AS first_slot, count(*) AS n_slots FROM runs JOIN slots ON runs.source IS NOT DISTINCT FROM slots.source AND runs.k = slots.k GROUP BY ALL)
+            lies AS (SELECT doc_id, runs.source AS source, size, begins, min(slot) AS first_slot, count(*) AS n_slots FROM runs JOIN slots ON runs.source IS NOT DISTINCT FROM slots.source AND runs.k = slots.k GROUP BY doc_id, runs.source, size, begins)
             SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, source_size, target,
                    CAST(greatest(0, least(p.size, quota - p.begins)) + greatest(0, least(p.size, quota - source_size - p.begins))
                         + greatest(0, least(p.size, quota - 2 * source_size - p.begins)) AS BIGINT) AS taken,
-                   CAST(first_slot AS BIGINT) AS first_slot, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots
+                   CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots
             FROM p LEFT JOIN lies ON p.doc_id IS NOT DISTINCT FROM lies.doc_id AND p.source IS NOT DISTINCT FROM lies.source AND p.size = lies.size AND p.begins = lies.begins""",
     }
