@@ -7,6 +7,7 @@ small numbers) cost almost nothing under the shuffle's own compression.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -14,9 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Odd multiplier of the polynomial hash, and the finisher's multipliers.
+#: Fixed value: odd multiplier of the powers that combine fingerprints.
 _P = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Words up to so many bytes are hashed by a table with a random number for each byte at each place and for each length,
+#: longer ones by BLAKE2b.
+SHORT = 32
+_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, SHORT * 256, dtype=np.uint64)
+_LENGTHS = np.random.default_rng(20240301).integers(0, 1 << 64, SHORT + 1, dtype=np.uint64)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -41,6 +46,21 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers below 2^32 with as many bits each as the largest needs, as bytes; the first byte says how many."""
+    width = max(1, int(values.max()).bit_length()) if len(values) else 1
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+    return np.concatenate([np.array([width], np.uint8), np.packbits(bits.reshape(-1), bitorder="little")])
+
+
+def widen(raw: np.ndarray, n: int) -> np.ndarray:
+    """The n numbers of narrow()."""
+    width = int(raw[0])
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(raw[1:], count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
+
+
 def finish(h: np.ndarray) -> np.ndarray:
     """Mix 64-bit values (the splitmix64 finisher)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -48,7 +68,7 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, _P, dtype=np.uint64)]))
+_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(15, _P, dtype=np.uint64)]))
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +84,25 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = ends - begins
     first = np.cumsum(size) - size
     inside = np.arange(int(size.sum())) - np.repeat(first, size)
-    terms = _TABLE[data[~blank]] * _POWERS[inside & 0xFFFF]
-    return doc, finish(np.add.reduceat(terms, first) + size.astype(np.uint64) * np.uint64(_P))
+    inside &= SHORT - 1
+    inside <<= 8
+    inside |= data[~blank]
+    made = finish(np.bitwise_xor.reduceat(_TABLE.take(inside), first) ^ _LENGTHS.take(np.minimum(size, SHORT)))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        made[i] = int.from_bytes(hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return doc, made
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of 64-bit fingerprints as shard numbers (fewer than 2^32): ascending keys have ascending shards."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(number, begin, end) of each run of equal numbers; costs what there is, not what there could be."""
+    if len(numbers):
+        begin = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+        yield from zip(numbers[begin].tolist(), begin.tolist(), np.append(begin[1:], len(numbers)).tolist(), strict=True)
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:
