@@ -1,9 +1,9 @@
 """License scan by ordered signature rules.
 
-Hundreds of regexes, made from the table of license families below by a few signature forms (SPDX tag, canonical
-address, grant sentence, full name, short mention). A keyword automaton gates them: a rule runs only on texts that
-hold all its keywords, so most texts run none. Detections are then resolved in order of priority: a detection
-that lies inside one already accepted, or overlaps one of higher priority, is suppressed.
+Hundreds of regexes (license_rules), each written for its license: SPDX tags, canonical addresses, clauses, grant sentences, full
+names, short mentions. A keyword automaton gates them: a rule runs only on texts that hold all its keywords, so most texts run
+none. Detections are then resolved in order of trust: one that lies inside another of more trust is suppressed; those that only
+overlap both stay.
 
 Row by row, no shuffle; whole texts of any length.
 """
@@ -22,92 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import license_rules
 from loomspan.llm.common import text_of
 
-#: SPDX identifier | full name | canonical address part | short names. Public SPDX data.
-FAMILIES = """
-MIT | MIT License | opensource.org/licenses/mit | mit/expat license; expat license
-Apache-1.1 | Apache Software License, Version 1.1 | apache.org/licenses/license-1.1 | apache-1.1
-Apache-2.0 | Apache License, Version 2.0 | apache.org/licenses/license-2.0 | apache 2.0 license; asl 2.0
-GPL-1.0 | GNU General Public License, version 1 | gnu.org/licenses/gpl-1.0 | gpl v1; gplv1
-GPL-2.0 | GNU General Public License, version 2 | gnu.org/licenses/gpl-2.0 | gpl v2; gplv2
-GPL-3.0 | GNU General Public License, version 3 | gnu.org/licenses/gpl-3.0 | gpl v3; gplv3
-LGPL-2.0 | GNU Library General Public License, version 2 | gnu.org/licenses/lgpl-2.0 | lgpl v2; lgplv2
-LGPL-2.1 | GNU Lesser General Public License, version 2.1 | gnu.org/licenses/lgpl-2.1 | lgpl v2.1; lgplv2.1
-LGPL-3.0 | GNU Lesser General Public License, version 3 | gnu.org/licenses/lgpl-3.0 | lgpl v3; lgplv3
-AGPL-3.0 | GNU Affero General Public License, version 3 | gnu.org/licenses/agpl-3.0 | agpl v3; agplv3
-GFDL-1.2 | GNU Free Documentation License, version 1.2 | gnu.org/licenses/fdl-1.2 | gfdl 1.2
-GFDL-1.3 | GNU Free Documentation License, version 1.3 | gnu.org/licenses/fdl-1.3 | gfdl 1.3
-BSD-2-Clause | BSD 2-Clause License | opensource.org/licenses/bsd-2-clause | simplified bsd license; freebsd license
-BSD-3-Clause | BSD 3-Clause License | opensource.org/licenses/bsd-3-clause | new bsd license; modified bsd license
-BSD-4-Clause | BSD 4-Clause License | spdx.org/licenses/bsd-4-clause | original bsd license
-0BSD | BSD Zero Clause License | opensource.org/licenses/0bsd | zero-clause bsd
-ISC | ISC License | opensource.org/licenses/isc | internet systems consortium license
-MPL-1.1 | Mozilla Public License, Version 1.1 | mozilla.org/mpl/1.1 | mpl 1.1
-MPL-2.0 | Mozilla Public License, Version 2.0 | mozilla.org/mpl/2.0 | mpl 2.0; mplv2
-EPL-1.0 | Eclipse Public License, Version 1.0 | eclipse.org/legal/epl-v10 | epl 1.0
-EPL-2.0 | Eclipse Public License, Version 2.0 | eclipse.org/legal/epl-2.0 | epl 2.0
-CDDL-1.0 | Common Development and Distribution License, Version 1.0 | opensource.org/licenses/cddl-1.0 | cddl 1.0
-CDDL-1.1 | Common Development and Distribution License, Version 1.1 | spdx.org/licenses/cddl-1.1 | cddl 1.1
-CPL-1.0 | Common Public License, Version 1.0 | opensource.org/licenses/cpl1.0 | cpl 1.0
-EUPL-1.1 | European Union Public Licence, Version 1.1 | opensource.org/licenses/eupl-1.1 | eupl 1.1
-EUPL-1.2 | European Union Public Licence, Version 1.2 | opensource.org/licenses/eupl-1.2 | eupl 1.2
-Artistic-1.0 | Artistic License 1.0 | opensource.org/licenses/artistic-license-1.0 | artistic-1.0
-Artistic-2.0 | Artistic License 2.0 | opensource.org/licenses/artistic-license-2.0 | artistic-2.0
-BSL-1.0 | Boost Software License, Version 1.0 | boost.org/license_1_0 | boost license 1.0
-BUSL-1.1 | Business Source License 1.1 | mariadb.com/bsl11 | busl 1.1
-SSPL-1.0 | Server Side Public License, Version 1 | mongodb.com/licensing/server-side-public-license | sspl v1
-Elastic-2.0 | Elastic License 2.0 | elastic.co/licensing/elastic-license | elv2
-CC0-1.0 | Creative Commons Zero v1.0 Universal | creativecommons.org/publicdomain/zero/1.0 | cc0 1.0; cc0
-CC-BY-3.0 | Creative Commons Attribution 3.0 | creativecommons.org/licenses/by/3.0 | cc by 3.0
-CC-BY-4.0 | Creative Commons Attribution 4.0 | creativecommons.org/licenses/by/4.0 | cc by 4.0
-CC-BY-SA-3.0 | Creative Commons Attribution-ShareAlike 3.0 | creativecommons.org/licenses/by-sa/3.0 | cc by-sa 3.0
-CC-BY-SA-4.0 | Creative Commons Attribution-ShareAlike 4.0 | creativecommons.org/licenses/by-sa/4.0 | cc by-sa 4.0
-CC-BY-NC-3.0 | Creative Commons Attribution-NonCommercial 3.0 | creativecommons.org/licenses/by-nc/3.0 | cc by-nc 3.0
-CC-BY-NC-4.0 | Creative Commons Attribution-NonCommercial 4.0 | creativecommons.org/licenses/by-nc/4.0 | cc by-nc 4.0
-CC-BY-ND-3.0 | Creative Commons Attribution-NoDerivs 3.0 | creativecommons.org/licenses/by-nd/3.0 | cc by-nd 3.0
-CC-BY-ND-4.0 | Creative Commons Attribution-NoDerivatives 4.0 | creativecommons.org/licenses/by-nd/4.0 | cc by-nd 4.0
-CC-BY-NC-SA-3.0 | Creative Commons Attribution-NonCommercial-ShareAlike 3.0 | creativecommons.org/licenses/by-nc-sa/3.0 | cc by-nc-sa 3.0
-CC-BY-NC-SA-4.0 | Creative Commons Attribution-NonCommercial-ShareAlike 4.0 | creativecommons.org/licenses/by-nc-sa/4.0 | cc by-nc-sa 4.0
-CC-BY-NC-ND-3.0 | Creative Commons Attribution-NonCommercial-NoDerivs 3.0 | creativecommons.org/licenses/by-nc-nd/3.0 | cc by-nc-nd 3.0
-CC-BY-NC-ND-4.0 | Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 | creativecommons.org/licenses/by-nc-nd/4.0 | cc by-nc-nd 4.0
-ODbL-1.0 | Open Data Commons Open Database License v1.0 | opendatacommons.org/licenses/odbl | odbl 1.0
-ODC-By-1.0 | Open Data Commons Attribution License v1.0 | opendatacommons.org/licenses/by | odc-by 1.0
-PDDL-1.0 | Open Data Commons Public Domain Dedication and License | opendatacommons.org/licenses/pddl | pddl 1.0
-Zlib | zlib License | opensource.org/licenses/zlib | zlib/libpng license
-Unlicense | The Unlicense | unlicense.org | released under the unlicense
-WTFPL | Do What The F*ck You Want To Public License | wtfpl.net | wtfpl
-PSF-2.0 | Python Software Foundation License | docs.python.org/3/license | psf license
-PostgreSQL | PostgreSQL License | opensource.org/licenses/postgresql | postgresql licence
-OFL-1.1 | SIL Open Font License, Version 1.1 | scripts.sil.org/ofl | ofl 1.1
-MS-PL | Microsoft Public License | opensource.org/licenses/ms-pl | ms-pl
-MS-RL | Microsoft Reciprocal License | opensource.org/licenses/ms-rl | ms-rl
-NCSA | University of Illinois/NCSA Open Source License | opensource.org/licenses/ncsa | ncsa license
-UPL-1.0 | Universal Permissive License, Version 1.0 | opensource.org/licenses/upl | upl 1.0
-AFL-3.0 | Academic Free License, Version 3.0 | opensource.org/licenses/afl-3.0 | afl 3.0
-OSL-3.0 | Open Software License, Version 3.0 | opensource.org/licenses/osl-3.0 | osl 3.0
-MulanPSL-2.0 | Mulan Permissive Software License, Version 2 | license.coscl.org.cn/mulanpsl2 | mulan psl v2
-CeCILL-2.1 | CeCILL Free Software License Agreement v2.1 | cecill.info/licences/licence_cecill_v2.1 | cecill 2.1
-OpenRAIL-M | Open Responsible AI License | licenses.ai | openrail-m; openrail
-"""
-#: Distinctive clauses of license texts, label | sentence.
-CLAUSES = """
-mit | permission is hereby granted, free of charge, to any person obtaining a copy of this software
-apache-2.0 | you may not use this file except in compliance with the license
-gpl | is free software: you can redistribute it and/or modify it under the terms of the gnu general public license
-gpl | is free software; you can redistribute it and/or modify it under the terms of the gnu general public license
-lgpl | under the terms of the gnu lesser general public license as published by the free software foundation
-agpl-3.0 | under the terms of the gnu affero general public license as published by the free software foundation
-bsd | redistribution and use in source and binary forms, with or without modification, are permitted
-isc | permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
-mpl-2.0 | this source code form is subject to the terms of the mozilla public license, v. 2.0
-bsl-1.0 | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
-zlib | this software is provided 'as-is', without any express or implied warranty
-unlicense | this is free and unencumbered software released into the public domain
-proprietary | all rights reserved
-public-domain | dedicated to the public domain
-public-domain | released into the public domain
-"""
 #: Phrases of the base labels, as words.
 BASE = {"mit": (b"mit", b"license"), "apache": (b"apache", b"license"), "gpl": (b"general", b"public", b"license")}
 #: Score and priority by signature form; the order is the order of trust.
@@ -123,44 +40,28 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
-#: An SPDX tag up to an id of its expression; the ids before that one are the group.
-_TAG = r"spdx-license-identifier:\s{0,8}((?:[( \t]{0,8}[a-z0-9.+:-]{1,60}[) \t]{1,8}(?:and|or|with)[ \t]{1,8}){0,31})[( \t]{0,8}"
-
-
-def _loose(words: str) -> str:
-    """A phrase with free white space, punctuation and comment marks between its words, whole words only."""
-    parts = re.findall(r"[a-z0-9*'+.]+", words.lower())
-    return r"(?<![a-z0-9])" + r"[\s,;:()\"/_*#>-]{1,12}".join(re.escape(p).replace("license", "licen[sc]e").replace("licence", "licen[sc]e") for p in parts) + r"(?![a-z0-9])"
-
-
-def _keywords(words: str) -> frozenset[str]:
-    """Up to two literal words that any match must hold, the longest ones."""
-    found = [w.replace("license", "licen").replace("licence", "licen").strip(".") for w in re.findall(r"[a-z0-9*'+.]+", words.lower())]
-    return frozenset(sorted({w for w in found if w}, key=lambda w: (-len(w), w))[:2])
+#: What a space, an SPDX tag up to an id (the ids before it are the group) and an optional version word of a rule stand for.
+_GAP = r"[\s,;:()\"'/_*#>|!.&-]++"
+_TAG = r"spdx-license-identifier:[ \t]*+((?:[( \t]*[a-z0-9.+:-]+[) \t]+(?:and|or|with)[ \t]+)*)[( \t]*"
+_VERSION = rf"(?:(?:version|v|ver){_GAP}|v)?"
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
+    """All rules, those of the most trusted form first."""
     made: list[Rule] = []
-    add = lambda label, form, words, pattern: made.append(Rule(label.lower(), form, _keywords(words), re.compile(pattern)))
-    for line in FAMILIES.strip().splitlines():
-        spdx, name, address, short = (x.strip() for x in line.split(" | "))
-        add(spdx, "tag", f"spdx {spdx}".replace("-", " "), _TAG + re.escape(spdx.lower()) + r"(?:-only|-or-later|\+)?(?![a-z0-9.-]*[a-z0-9])")
-        add(spdx, "address", address.replace("/", " ").replace("-", " ").replace("_", " "), re.escape(address))
-        add(spdx, "grant", f"licen {name}", r"licen[sc]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?" + _loose(name))
-        add(spdx, "name", name, _loose(name))
-        for other in short.split(";"):
-            add(spdx, "short", other, _loose(other.strip()))
-            add(spdx, "grant", f"licen {other}", r"licen[sc]ed\s+under\s+(?:the\s+)?" + _loose(other.strip()))
-        family = re.sub(r",? v(?:ersion )?\.?[\d.]+$|,? [\d.]+$", "", name, flags=re.I)
-        if family != name:  # without its version
-            label = re.sub(r"-[\d.]+$", "", spdx)
-            add(label, "family", family, _loose(family) + r"(?!,?\s+v(?:ersion)?\s*\.?\d)")
-    for line in CLAUSES.strip().splitlines():
-        label, words = (x.strip() for x in line.split(" | "))
-        add(label, "clause", words, _loose(words))
-    unique = {(r.label, r.pattern.pattern): r for r in reversed(made)}
-    return tuple(sorted(unique.values(), key=lambda r: (-FORMS[r.form], r.label, r.pattern.pattern)))
+    label = ""
+    for line in license_rules.RULES.strip().splitlines():
+        if line.startswith("["):
+            label = line[1:-1]
+            continue
+        form, words, regex = line.split(" | ")
+        tag, regex = regex.startswith("@"), regex.lstrip("@")
+        # a gap is eaten whole: the first word after it begins with a letter or a digit
+        regex = regex.replace(" % ", _GAP + _VERSION).replace(" ?", f"(?:{_GAP})?").replace(" ", _GAP)
+        end = r"(?:-only|-or-later|\+)?(?![a-z0-9.-]*[a-z0-9])" if tag else r"(?![a-z0-9])"
+        made.append(Rule(label, form, frozenset(words.split(",")), re.compile((_TAG + f"({regex})" if tag else rf"(?<![a-z0-9])(?:{regex})") + end)))
+    return tuple(sorted(made, key=lambda r: (-FORMS[r.form], r.label, r.pattern.pattern)))
 
 
 @cache
@@ -183,18 +84,25 @@ def detect(text: str) -> list[Found]:
     """Detections left after suppression, by place. ``text`` has its A-Z lower-cased."""
     held = {w for _, w in _gate().iter(text)}
     # a later id of an expression stands for itself alone
-    start = lambda m, r: text.rindex(r.label, 0, m.end()) if r.form == "tag" and m[1] else m.start()
+    start = lambda m, r: m.start(2) if r.form == "tag" and m[1] else m.start()
     every = [(rank, start(m, r), m.end(), r) for rank, r in enumerate(rules()) if r.keywords <= held for m in r.pattern.finditer(text)]
     every.sort(key=lambda x: (-FORMS[x[3].form], -(x[2] - x[1]), x[1], x[0]))
-    taken: list[tuple[int, int, str, str]] = []  # by place; accepted detections don't overlap
+    # by trust: a detection inside one that was met before is suppressed. What holds it may itself be inside a third one, which then
+    # holds both; so it is enough to know, for each place, how far the detections that begin up to it reach.
+    starts = sorted({a for _, a, _, _ in every})
+    reach = [-1] * (len(starts) + 1)  # a Fenwick tree of greatest ends
+    out = []
     for _, a, b, r in every:
-        k = bisect(taken, (a,))
-        # not inside an accepted detection, and not overlapping one of higher trust
-        if not (k and taken[k - 1][1] > a) and not (k < len(taken) and taken[k][0] < b):
-            taken.insert(k, (a, b, r.label, r.form))
-    return [Found(label, form, a, b) for a, b, label, form in taken]
-
-
+        k = at = bisect(starts, a)
+        far = -1
+        while k:
+            far, k = max(far, reach[k]), k & (k - 1)
+        if far < b:
+            out.append(Found(r.label, r.form, a, b))
+        while at <= len(starts):
+            reach[at] = max(reach[at], b)
+            at += at & -at
+    return sorted(out, key=lambda f: (f.start, f.end))
 
 
 def scan(raw: bytes) -> tuple[int, list[tuple[int, str]], list[Found]]:
@@ -222,7 +130,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     A null or empty text gives zero counts, null places, empty labels and score 0. The score is that of the most
-    trusted detection; a base place alone scores as a full name. Spans are character offsets in the text.
+    trusted detection; a base place alone scores as a full name. Spans are character offsets in the text, by place. Texts may
+    have any length; repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
