@@ -23,6 +23,33 @@ def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_on_awkward_rows(spark, sf, k):
+    """Nulls, empty texts, repeated rows, clashing column names and an empty table, through every stage that returns documents."""
+    name, stage = corpus_pipeline.STAGES[k]
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, "a", 1, 2, "x", "k"), (1, long, "a", 1, 2, "x", "k"), (None, long + " more", None, 3, 4, None, "k"), (2, None, "a", 0, 0, "y", "k"), (3, "", "", 0, 0, "y", "k"), (None, "b " * 70, None, 0, 0, "z", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, size int, _key string, rid string")
+    out = stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= {tuple(r) for r in docs.collect()}
+    assert sum(r[1] == long for r in got) <= (3 if name == "source mix" else 2)
+    if name == "exact dedup":
+        assert len(got) == 4 and sum(not r[1] for r in got) == 1
+    if name == "near duplicates":
+        assert len(got) == 4 and sum(not r[1] for r in got) == 2 and sum((r[1] or "").startswith("word0") for r in got) == 1
+    empty = stage(spark, docs.limit(0), sf)
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_packing_stage_on_awkward_rows(spark, sf):
+    docs = spark.createDataFrame([(1, "a b", "s", "t"), (None, None, None, "t"), (2, "", "s", "t")], "doc_id long, text string, source string, length string")
+    out = corpus_pipeline.sequences(spark, docs, sf).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in out} == {(1, 3), (None, 1), (2, 1)} and sum(r.length for r in out) == 5
+    assert corpus_pipeline.sequences(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [f for _, f in corpus_pipeline.STAGES]
