@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments kept by a process; the cache starts anew when full. It bounds memory and changes no result.
-CACHED = 1_000_000
+CACHED = 600_000
 #: Letters whose normal form is one letter, as an RE2 class body: Latin without U+0130, whose lower case is a letter and a mark.
 _LETTER = r"a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
 _LETTERS = f"^[{_LETTER}]+$"
@@ -100,7 +100,9 @@ class Encoder:
     def _gather(self, index: np.ndarray) -> np.ndarray:
         size = self.size[index].astype(np.int64)
         shift = self.start[index] - (np.cumsum(size) - size)
-        return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
+        place = np.repeat(shift, size)
+        place += np.arange(len(place))
+        return self.flat[place]
 
     def _odd(self, texts: pa.Array) -> pa.Array:
         """Texts that aren't plain."""
@@ -165,7 +167,7 @@ def encoder(path: str, kind: str) -> Encoder:
     return Encoder(path, kind)
 
 
-def encoded(path: str, kind: str, texts: pa.Array, most: int = 8 << 20):
+def encoded(path: str, kind: str, texts: pa.Array, most: int = 3 << 20):
     """(first, end, ids, offsets) of a string column in runs of bounded size."""
     from loomspan.llm.packed import chunks, release
 
