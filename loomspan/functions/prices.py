@@ -46,9 +46,17 @@ def _pick(code: str | Column, kind: str) -> Column:
     return F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(CONFIDENCE[kind]).alias("confidence"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value made once a row: an expression in several places is repeated in full at each."""
+    return F.transform(F.array(value), body)[0]
+
+
 def currency(text: Column, url: Column) -> Column:
     """struct(code, confidence): by sign, suffix, code, a sign that the host decides, the host alone, or US dollars."""
-    host = F.coalesce(urls.host(url), F.lit(""))
+    return let(F.coalesce(urls.host(url), F.lit("")), lambda host: _currency(text, url, host))
+
+
+def _currency(text: Column, url: Column, host: Column) -> Column:
     out = F.when(F.lit(False), _pick("USD", "none"))
     for kind, table in (("sign", MULTI + SINGLE), ("suffix", SUFFIX)):
         for sign, code in table:
@@ -61,13 +69,16 @@ def currency(text: Column, url: Column) -> Column:
         for ending, code in endings:
             out = out.when(text.contains(sign) & host.endswith(ending), _pick(code, "ending"))
         out = out.when(text.contains(sign), _pick(default, "default"))
-    return out.when(F.coalesce(url, F.lit("")) != "", _pick(urls.currency(url), "url")).otherwise(_pick("USD", "none"))
+    return out.when(F.coalesce(url, F.lit("")) != "", _pick(urls.currency_of(host), "url")).otherwise(_pick("USD", "none"))
 
 
 def number(text: Column, code: Column) -> Column:
     """Amount in either convention: of two kinds of separators the last one is decimal; one alone is decimal where at most two digits follow
     it and the currency has parts, else it groups (a single point only before three digits)."""
-    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), *DIGITS), r"[^0-9,.]", "")
+    return let(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), *DIGITS), r"[^0-9,.]", ""), lambda t: _number(t, code))
+
+
+def _number(t: Column, code: Column) -> Column:
     without = lambda sign: F.replace(t, F.lit(sign), F.lit(""))
     comma, dot = t.contains(","), t.contains(".")
     after = lambda sign: F.length(F.substring_index(t, sign, -1))
@@ -97,35 +108,42 @@ def parse(text: Column, url: Column, hint: Column | None = None) -> Column:
 
     Null and blank texts, and texts without a number, have no prices. ``hint`` is a currency that outranks what the text says.
     """
-    t = trim(F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, ""))
-    low = F.lower(t)
-    says = lambda words: low.rlike(terms.any_of(tuple(w.lower() for w in words)))
     hinted = hint if hint is not None else F.lit(None).cast("string")
-    own = lambda x: F.coalesce(hinted, currency(x, url)["code"])
-    sure = lambda x: currency(x, url)["confidence"]
     result = lambda prices, is_range=False, cross=False: F.struct(prices.cast(SCHEMA).alias("prices"), F.lit(is_range).alias("is_range"), F.lit(cross).alias("is_cross_listed"))
     zero = lambda confidence, kind: result(F.array(_price(F.lit(0.0), F.coalesce(hinted, F.lit("USD")), F.lit(confidence), kind)))
-    # a range: the low end's currency may be hinted, the high end keeps its own where the two differ
-    first, last = trim(F.regexp_extract(t, RANGE, 1)), trim(F.regexp_extract(t, RANGE, 2))
-    low_n, high_n = number(first, own(first)), number(last, currency(last, url)["code"])
-    high_code = F.when(currency(last, url)["code"] != currency(first, url)["code"], currency(last, url)["code"]).otherwise(own(first))
-    ranged = (first != "") & (last != "") & low_n.isNotNull() & high_n.isNotNull()
-    # what a from-price is about stands after the word, or before it
-    is_from = low.rlike(FROM)
-    behind, before = trim(F.regexp_extract(t, FROM, 2)), trim(F.regexp_extract(t, FROM, 1))
-    work = F.when(is_from, F.when(behind != "", behind).otherwise(before)).otherwise(t)
-    kind = F.when(is_from, F.lit("from")).otherwise(F.lit("exact"))
-    pieces = F.filter(F.transform(F.split(work, SECOND), lambda p: trim(F.regexp_replace(p, r"\)+$", ""))), lambda p: p != "")
-    code_of = lambda p, i: F.when(i == 0, F.coalesce(hinted, currency(p, url)["code"])).otherwise(currency(p, url)["code"])
-    several = F.filter(F.transform(pieces, lambda p, i: _price(number(p, code_of(p, i)), code_of(p, i), F.round(sure(p) * 0.9, 4), kind)), lambda x: x["amount"].isNotNull())
-    single = number(work, own(work))
     none = result(F.array())
-    return (
-        F.when(t == "", none)
-        .when(says(terms.FREE_PRICE), zero(0.90, "free"))
-        .when(says(terms.UNAVAILABLE_PRICE), zero(0.85, "unavailable"))
-        .when(ranged, result(F.array(_price(low_n, own(first), sure(first), "range_low"), _price(high_n, high_code, sure(last), "range_high")), is_range=True))
-        .when((F.size(pieces) >= 2) & (F.size(several) >= 2), result(several, cross=True))
-        .when(single.isNotNull(), result(F.array(_price(single, own(work), sure(work), kind))))
-        .otherwise(none)
-    )
+
+    def of(t: Column, host: Column) -> Column:
+        low = F.lower(t)
+        says = lambda words: low.rlike(terms.any_of(tuple(w.lower() for w in words)))
+
+        def read(texts: Column) -> Column:
+            """struct(code, own, sure, amount) of each text; the first one's currency may be hinted."""
+            made = lambda x, c, own: F.struct(c["code"].alias("code"), own.alias("own"), c["confidence"].alias("sure"), number(x, own).alias("amount"))
+            own = lambda i, c: F.coalesce(F.when(i == 0, hinted), c["code"])
+            return F.transform(texts, lambda x, i: let(_currency(x, url, host), lambda c: let(own(i, c), lambda code: made(x, c, code))))
+
+        def offered(work: Column, kind: Column) -> Column:
+            pieces = F.filter(F.transform(F.split(work, SECOND), lambda p: trim(F.regexp_replace(p, r"\)+$", ""))), lambda p: p != "")
+            priced = lambda some: F.filter(F.transform(read(some), lambda r: _price(r["amount"], r["own"], F.round(r["sure"] * 0.9, 4), kind)), lambda x: x["amount"].isNotNull())
+            single = let(read(F.array(work))[0], lambda r: F.when(r["amount"].isNotNull(), result(F.array(_price(r["amount"], r["own"], r["sure"], kind)))).otherwise(none))
+            several = let(pieces, lambda some: F.when(F.size(some) >= 2, priced(some)))
+            return let(several, lambda some: F.when(F.size(some) >= 2, result(some, cross=True)).otherwise(single))
+
+        # a range: the low end's currency may be hinted, the high end keeps its own where the two differ
+        ends = let(F.array(trim(F.regexp_extract(t, RANGE, 1)), trim(F.regexp_extract(t, RANGE, 2))), lambda e: F.when((e[0] != "") & (e[1] != ""), read(e)))
+        high_code = lambda e: F.when(e[1]["code"] != e[0]["code"], e[1]["code"]).otherwise(e[0]["own"])
+        ranged = lambda e: result(F.array(_price(e[0]["amount"], e[0]["own"], e[0]["sure"], "range_low"), _price(e[1]["amount"], high_code(e), e[1]["sure"], "range_high")), is_range=True)
+        # what a from-price is about stands after the word, or before it
+        behind, before = trim(F.regexp_extract(t, FROM, 2)), trim(F.regexp_extract(t, FROM, 1))
+        work = lambda is_from: F.when(is_from, let(behind, lambda b: F.when(b != "", b).otherwise(before))).otherwise(t)
+        other = let(low.rlike(FROM), lambda is_from: let(work(is_from), lambda w: offered(w, F.when(is_from, F.lit("from")).otherwise(F.lit("exact")))))
+        return (
+            F.when(t == "", none)
+            .when(says(terms.FREE_PRICE), zero(0.90, "free"))
+            .when(says(terms.UNAVAILABLE_PRICE), zero(0.85, "unavailable"))
+            .otherwise(let(ends, lambda e: F.when(e[0]["amount"].isNotNull() & e[1]["amount"].isNotNull(), ranged(e)).otherwise(other)))
+        )
+
+    clean = trim(F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, ""))
+    return let(clean, lambda t: let(F.coalesce(urls.host(url), F.lit("")), lambda host: of(t, host)))

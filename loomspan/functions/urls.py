@@ -62,7 +62,11 @@ def accept_language(url: Column) -> Column:
 
 
 def currency(url: Column) -> Column:
-    return host_rule(host(url), fixed.by_host(fixed.CURRENCY_DOMAINS), F.lit("USD"))
+    return currency_of(host(url))
+
+
+def currency_of(name: Column) -> Column:
+    return host_rule(name, fixed.by_host(fixed.CURRENCY_DOMAINS), F.lit("USD"))
 
 
 def schema(url: Column) -> Column:

@@ -40,6 +40,11 @@ def test_prices_by_hand(spark):
         assert r.r.is_range == (len(got) == 2 and got[0][3] == "range_low") and r.r.is_cross_listed == (len(got) == 2 and not r.r.is_range)
 
 
+def test_price_parts_are_made_once(spark):
+    """The table of signs stands in the expression once for the ends of a range, once for pieces and once for a single price."""
+    assert str(prices.parse(F.col("t"), F.col("u"))).count("HK$") == 3
+
+
 def test_price_hint(spark):
     got = spark.range(1).select(prices.parse(F.lit("12,50"), F.lit(""), F.lit("EUR")).alias("r")).first().r.prices[0]
     assert (got.amount, got.currency) == (12.5, "EUR")
