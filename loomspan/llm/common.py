@@ -13,6 +13,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,19 @@ def stored(df: DataFrame, stem: str) -> DataFrame:
     return stored_at(df, stem)[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 3 << 19) -> Iterator[None]:
+    """Tables written in this block go to Python in batches of about ``most`` bytes (one row at least) and not of 10,000 rows: a
+    batch of long texts is in memory several times, in the executor and in each of its workers. All rows are sent all the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before.rstrip("bB"))) if before.rstrip("bB").isdigit() else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(column: str | Column) -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

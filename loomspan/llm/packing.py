@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import stored, text_of
+from loomspan.llm.common import small_batches, stored, text_of
 from loomspan.llm.mixing import _prefix, n_buckets
 
 WINDOW = 1024
@@ -224,7 +224,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     Every token lies in exactly one piece, every piece in one sequence of at most ``window`` tokens. A null or empty text
     is the end id alone; repeated rows are packed each on their own. Empty input gives no rows.
     """
-    pieces = stored(cut(docs, vocabulary, id_col, text_col, window, end_id, with_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(cut(docs, vocabulary, id_col, text_col, window, end_id, with_ids), "pieces")
     got = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``window`` rows
     counts = np.zeros(window + 1, dtype=np.int64)
     for r in got:
