@@ -612,6 +612,25 @@ def test_keep_good_empty(spark, empty):
     assert quality.keep_good(empty, labels).count() == 0 and quality.keep_good(empty, labels).columns == empty.columns
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Where every document is trusted, no n-gram is worth anything, however many documents there are."""
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat('text number ', id) as text")
+    assert not quality.fit(docs, docs.selectExpr("doc_id", "1 as quality")).ratio.any()
+
+
+def test_quality_cut_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    good, bad = np.round(rng.normal(0.3, 0.4, 700), 2), np.round(rng.normal(-0.2, 0.3, 90), 2)
+    at = np.unique(np.concatenate([good, bad]))
+    gain = [int((bad < x).sum()) * len(good) - int((good < x).sum()) * len(bad) for x in at]
+    best = at[int(np.argmax(gain))]
+    best = (best + bad[bad < best].max()) / 2
+    scored = spark.createDataFrame([(1, float(x)) for x in good] + [(0, float(x)) for x in bad], "quality int, llr double")
+    for lose in (0.002, 0.31, 1.0):
+        assert quality._cut(scored, lose) == pytest.approx(min(best, np.quantile(good, lose)), abs=1e-12)
+    assert quality._cut(scored.filter("quality = 1"), 0.002) == -np.inf
+
+
 def test_quality_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1)], "doc_id long, quality int")
     got = quality.quality_rules(awkward, labels)
