@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import compaction, components, exact_dedup, id_codec, id_files, licenses, lm_score, mixing, ngram_join, packing, pii, quality, queries
+from loomspan.llm import common, compaction, components, exact_dedup, id_codec, id_files, licenses, lm_score, mixing, ngram_join, packing, pii, quality, queries
 from loomspan.llm.common import new_path
 from loomspan.llm.elias_fano import EliasFano
 
@@ -612,6 +613,17 @@ def test_keep_good_empty(spark, empty):
     assert quality.keep_good(empty, labels).count() == 0 and quality.keep_good(empty, labels).columns == empty.columns
 
 
+def test_small_batches(spark):
+    """Long texts go to Python a few at a time, and the setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    rows = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 20000) as text")
+    with common.small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 400 and max(got) < 100 and spark.conf.get(key) == before
+
+
 def test_quality_learns_from_all_labels(spark):
     """Where every document is trusted, no n-gram is worth anything, however many documents there are."""
     docs = spark.range(21_000).selectExpr("id as doc_id", "concat('text number ', id) as text")
